@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palinode.llm import heavy, lookalike, mix, packing, pairs, quantiles
+from palinode.llm import heavy, leakage, lookalike, mix, packing, pairs, quantiles
 from palinode.llm.common import day_of, digest_of, instant_us, pass_name
 from palinode.llm.seen import SeenBefore
 from palinode.sources.shared import table, written
@@ -146,6 +146,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), CAPACITY)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the evaluation items they leak."""
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation items by the number of documents that leak them."""
+    found = leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
