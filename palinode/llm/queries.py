@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palinode.llm import heavy, leakage, lookalike, mix, packing, pairs, quantiles
+from palinode.llm import heavy, leakage, lookalike, mix, packing, pairs, pii, quantiles
 from palinode.llm.common import day_of, digest_of, instant_us, pass_name
 from palinode.llm.seen import SeenBefore
 from palinode.sources.shared import table, written
@@ -157,6 +157,20 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information by document and type."""
+    return _personal(spark, d).select("doc_id", "pii_type", "surface").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with placeholders."""
+    return pii.redact(table(spark, d, "documents"), _personal(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
