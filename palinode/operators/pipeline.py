@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palinode.functions import tables as T
 from palinode.functions.config import BASE_CONFIDENCE, Config
-from palinode.functions.expressions import let, no_hits
+from palinode.functions.expressions import no_hits
 from palinode.operators import arrow, native
 
 DETECTION = "struct<kind:string,original:string,normalized:string,detail:string,confidence:float>"
@@ -36,7 +36,6 @@ ORDER: tuple[tuple[str, Callable[..., Column], bool], ...] = (
     ("split-string", native.split_string, False),
     ("skeleton-match", arrow.skeleton_match, True),
 )
-_ARROW = {"pre-scan-nfc", "punycode", "base64", "morse-code", "skeleton-match"}
 
 
 def run_pass(kind: str, text: Column, cfg: Config, spark: SparkSession) -> Column:
@@ -94,49 +93,34 @@ class Normalizer:
     def analyze(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with ``normalized``, ``detections``, ``halted``, ``score``, ``should_flag``, ``should_block``; null texts give null.
 
-        Each pass is one projection of a single state column that it names once, so that merged projections don't repeat work.
-        Existing columns of these names are replaced. Works on streams: nothing crosses rows.
+        Each pass is one projection of its own. A condition that always holds but isn't deterministic keeps the optimizer from merging
+        the projections, which would repeat each pass wherever the next names its text. Existing columns of these names are replaced. Works on streams: nothing crosses rows.
         """
         spark, cfg = df.sparkSession, self.config
-        start = F.struct(
-            F.col(text).alias("text"), F.array().cast(f"array<{DETECTION}>").alias("found"), F.lit(0.0).cast("float").alias("mixed"),
-            F.lit(0.0).cast("float").alias("leet"), F.lit(False).alias("halted"),
-        )
-        out = df.withColumn("__s", start)
+        single = F.lit(0.0).cast("float")
+        nothing = F.array().cast(f"array<{DETECTION}>")
+        out = df.withColumns({"__text": F.col(text), "__found": nothing, "__mixed": single, "__leet": single, "__halted": F.lit(False)})
         for kind, _, _ in ORDER:
-            on = kind in self.kinds
-            if kind == "homoglyph":
-                on = on or "script-intrusion" in self.kinds
+            on = kind in self.kinds or kind == "homoglyph" and "script-intrusion" in self.kinds
             if not on:
                 continue
-            if kind in _ARROW:
-                out = out.withColumn("__r", run_pass(kind, F.col("__s.text"), cfg, spark)).withColumn("__s", self._next(kind, F.col("__s"), F.col("__r"))).drop("__r")
-            else:
-                out = out.withColumn("__s", self._step(kind, F.col("__s"), spark))
-        s = F.col("__s")
-        scored = out.withColumns({"normalized": s["text"], "detections": F.when(s["text"].isNotNull(), s["found"]), "halted": F.when(s["text"].isNotNull(), s["halted"])})
-        score = F.when(s["halted"], F.lit(1.0).cast("float")).otherwise(compute_score(s["found"], s["mixed"], s["leet"], cfg))
-        scored = scored.withColumn("score", F.when(s["text"].isNotNull(), score)).drop("__s")
-        return scored.withColumns({"should_flag": decision_at(F.col("score"), cfg.flag_threshold), "should_block": decision_at(F.col("score"), cfg.block_threshold)})
-
-    def _step(self, kind: str, state: Column, spark: SparkSession) -> Column:
-        return let(state, lambda s: let(run_pass(kind, s["text"], self.config, spark), lambda r: self._next(kind, s, r)))
-
-    @staticmethod
-    def _next(kind: str, s: Column, r: Column) -> Column:
-        found = _detections(kind, F.coalesce(r["hits"], no_hits()))
-        if kind == "script-intrusion":
-            # only where the look-alikes before it replaced nothing
-            replaced = F.exists(s["found"], lambda d: d["kind"] == "homoglyph")
-            found = F.when(replaced, F.array().cast(f"array<{DETECTION}>")).otherwise(found)
-        ratio = F.coalesce(r["ratio"], F.lit(0.0).cast("float"))
-        return F.struct(
-            r["text"].alias("text"),
-            F.concat(s["found"], found).alias("found"),
-            (ratio if kind == "homoglyph" else s["mixed"]).alias("mixed"),
-            (ratio if kind == "leetspeak" else s["leet"]).alias("leet"),
-            (F.size(r["hits"]) > 0 if kind == "cjk-superposition" else s["halted"]).alias("halted"),
-        )
+            out = out.withColumn("__now", F.when(F.monotonically_increasing_id() >= 0, run_pass(kind, F.col("__text"), cfg, spark)))
+            found = _detections(kind, F.coalesce(F.col("__now.hits"), no_hits()))
+            if kind == "script-intrusion":
+                # only where the look-alikes before it replaced nothing
+                found = F.when(F.exists("__found", lambda d: d["kind"] == "homoglyph"), nothing).otherwise(found)
+            step = {"__text": F.col("__now.text"), "__found": F.concat("__found", found)}
+            if kind in ("homoglyph", "leetspeak"):
+                step["__mixed" if kind == "homoglyph" else "__leet"] = F.coalesce(F.col("__now.ratio"), single)
+            if kind == "cjk-superposition":
+                step["__halted"] = F.size("__now.hits") > 0
+            out = out.withColumns(step).drop("__now")
+        there = F.col(text).isNotNull()
+        score = F.when(F.col("__halted"), F.lit(1.0).cast("float")).otherwise(compute_score(F.col("__found"), F.col("__mixed"), F.col("__leet"), cfg))
+        out = out.withColumns(
+            {"normalized": F.col("__text"), "detections": F.when(there, F.col("__found")), "halted": F.when(there, F.col("__halted")), "score": F.when(there, score)}
+        ).drop("__text", "__found", "__mixed", "__leet", "__halted")
+        return out.withColumns({"should_flag": decision_at(F.col("score"), cfg.flag_threshold), "should_block": decision_at(F.col("score"), cfg.block_threshold)})
 
 
 def compute_score(found: Column, mixed: Column, leet: Column, cfg: Config) -> Column:
