@@ -91,7 +91,7 @@ _NAME_FIRST = re.compile(
 _ENDINGS = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer")
 _NUMBERED = re.compile(rf"(?<!\w){_NO}$")
 _HOUSE_AT = re.compile(rf"{_HOUSE}(?!\w)")
-_NUMBER = re.compile(r"\d{1,4}(?=[ , \xa0\u2009\u202f/A-Za-z-])")
+_NUMBER = re.compile(r"\d{1,4}(?![\d:%]|[.,]\d)")
 _DIGITS = re.compile(r"\d[\d()\s./\xa0\u2009\u202f-]{4,}\d")
 
 #: Particles between given and family name.
