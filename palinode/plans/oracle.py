@@ -1,0 +1,141 @@
+"""What the queries must give, as SQL for another engine, written from the semantics of each pass.
+
+Passes without an entry (look-alike tables, strict base64, punycode, Morse, runs of backslashes) are tested on fixtures.
+"""
+
+from __future__ import annotations
+
+from palinode.functions import tables as T
+
+_K = "[" + ", ".join(f"'{k}'" for k in T.KEYWORDS) + "]"
+_LETTER_K = "[" + ", ".join(f"'{k}'" for k in T.KEYWORDS if k.isalpha()) + "]"
+_ANY = f"len(list_filter({_K}, lambda k: contains({{0}}, k))) > 0"
+_WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_HEXLIKE = r"(regexp_matches({0}, '[0-9]') and regexp_full_match({0}, '[0-9A-Fa-f-]+'))"
+
+
+def _whole(new: str, fired: str) -> str:
+    """A pass with at most one detection that replaces the text."""
+    return f"""
+        with b as (select sample_id, text, {new} as new from adversarial), f as (select *, coalesce({fired}, false) as fired from b)
+        select sample_id, cast(case when fired then 1 else 0 end as bigint) as n_hits, fired, case when fired then new else text end as normalized from f"""
+
+
+def _stay(hits: str) -> str:
+    """A pass that leaves the text."""
+    return f"select sample_id, cast(h as bigint) as n_hits, h > 0 as fired, text as normalized from (select sample_id, text, coalesce({hits}, 0) as h from adversarial)"
+
+
+def _removed(pattern: str) -> str:
+    return _whole(f"regexp_replace(text, '{pattern}', '', 'g')", "new <> text")
+
+
+_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + " "
+_AZ = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NM = "nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM"
+
+_ROT = rf"""array_to_string(list_transform(regexp_extract_all(text, '[ \t\n\f\r]+|[^ \t\n\f\r]+'),
+    lambda x: case when regexp_full_match(x, '[A-Za-z]{{4,}}') then translate(x, '{_AZ}', '{_NM}') else x end), '')"""
+
+_URL_OK = f"length(x) >= 9 and x[1] = '%' and {_ANY.format('lower(try(url_decode(x)))')}"
+_URL = rf"""
+    with b as (select sample_id, text, regexp_extract_all(text, '(?:%[0-9A-Fa-f]{{2}})+|[^%]+|%') as xs from adversarial),
+    f as (select sample_id, text, len(list_filter(xs, lambda x: {_URL_OK})) as h,
+                 array_to_string(list_transform(xs, lambda x: case when {_URL_OK} then try(url_decode(x)) else x end), '') as new from b)
+    select sample_id, cast(coalesce(h, 0) as bigint) as n_hits, coalesce(h, 0) > 0 as fired, case when h > 0 then new else text end as normalized from f"""
+
+_REFERENCE = r"""case when x in ('&amp', '&amp;') then '&' when x in ('&lt', '&lt;') then '<' when x in ('&gt', '&gt;') then '>'
+    when x in ('&quot', '&quot;') then '"' when x in ('&apos', '&apos;') then ''''
+    when regexp_matches(x, '^&#[xX]') then chr(cast('0x' || regexp_extract(x, '[0-9A-Fa-f]+', 0) as integer))
+    when regexp_matches(x, '^&#') then chr(cast(regexp_extract(x, '[0-9]+', 0) as integer)) end"""
+_HTML = rf"""
+    with b as (select sample_id, text, list_transform(
+        regexp_extract_all(text, '&(?:amp;?|lt;?|gt;?|quot;?|apos;?)|&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|[^&]+|&'),
+        lambda x: {{'a': x, 'b': {_REFERENCE}}}) as xs from adversarial),
+    f as (select sample_id, text, array_to_string(list_transform(xs, lambda x: coalesce(x.b, x.a)), '') as new, len(list_filter(xs, lambda x: x.b is not null)) as n from b),
+    g as (select *, coalesce(n >= 4 and {_ANY.format("lower(new)")}, false) as fired from f)
+    select sample_id, cast(case when fired then 1 else 0 end as bigint) as n_hits, fired, case when fired then new else text end as normalized from g"""
+
+_ESCAPE = r"""case when regexp_matches(x, '^\\[xu]') then chr(cast('0x' || regexp_extract(x, '^\\[xu]\{?([0-9A-Fa-f]+)', 1) as integer))
+    when regexp_matches(x, '^\\[0-7]') then chr(cast(list_reduce(list_transform(string_split(substr(x, 2), ''), lambda c: cast(c as integer)), lambda p, q: p * 8 + q) as integer)) end"""
+_UNICODE = rf"""
+    with b as (select sample_id, text, list_transform(
+        regexp_extract_all(text, '\\x[0-7][0-9A-Fa-f]|\\u\{{[0-9A-Fa-f]{{1,6}}\}}|\\u[0-9A-Fa-f]{{4}}|\\[0-3][0-7]{{2}}|\\[0-7]{{1,2}}|[^\\]+|\\'),
+        lambda x: {{'a': x, 'b': {_ESCAPE}}}) as xs from adversarial),
+    f as (select sample_id, text, array_to_string(list_transform(xs, lambda x: coalesce(x.b, x.a)), '') as new,
+                 len(list_filter(xs, lambda x: x.b is not null and not regexp_full_match(x.a, '\\[0-7]'))) as n from b),
+    g as (select *, coalesce((n >= 1 and {_ANY.format("lower(new)")}) or n >= 4, false) as fired from f)
+    select sample_id, cast(case when fired then 1 else 0 end as bigint) as n_hits, fired, case when fired then new else text end as normalized from g"""
+
+_LEET_FROM, _LEET_TO = "".join(T.LEET), "".join(T.LEET.values())
+_LEET_WORD = rf"""not {_HEXLIKE.format("w")} and len(regexp_extract_all(w, '[\p{{L}}\p{{N}}]')) >= 4 and len(regexp_extract_all(w, '[A-Za-z]')) >= 2
+    and len(regexp_extract_all(w, '[013456789@!$+|]')) * 100 // greatest(len(regexp_extract_all(w, '[\p{{L}}\p{{N}}]')), 1) >= 35"""
+_LEET = rf"""
+    with b as (select sample_id, text, regexp_extract_all(text, '{_WS.replace("[", "[^", 1)}+') as ws from adversarial),
+    f as (select sample_id, text, coalesce(len(list_filter(ws, lambda w: {_LEET_WORD})) > 0, false) as fired,
+                 array_to_string(list_transform(ws, lambda w: case when {_LEET_WORD} then translate(w, '{_LEET_FROM}', '{_LEET_TO}') else w end), ' ') as new from b)
+    select sample_id, cast(case when fired then 1 else 0 end as bigint) as n_hits, fired, case when fired then new else text end as normalized from f"""
+
+_INTRUSION = rf"""case when len(list_filter(regexp_extract_all(text, '{_WS.replace("[", "[^", 1)}+'),
+    lambda w: length(w) >= 3 and len(regexp_extract_all(w, '[A-Za-z0-9]')) >= 2 and regexp_matches(w, '[^\x00-\x7f\x{{c0}}-\x{{24f}}]'))) > 0 then 1 else 0 end"""
+
+_SPLIT = f"""case when octet_length(encode(text)) < 8 then 0 else len(list_filter({_LETTER_K},
+    lambda k: contains(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), k) and not contains(lower(text), k))) end"""
+
+_PAIRS = "[" + ", ".join(f"'{b}'" for b in T.BIGRAMS) + "]"
+_CJK = (
+    r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{3040}-\x{30FF}\x{3000}-\x{303F}\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}"
+    r"\x{FF65}-\x{FF9F}\x{FFA0}-\x{FFBE}]"
+)
+_ENTROPY_OF = """(select -sum(n * 1.0 / length(w) * log2(n * 1.0 / length(w))) from (select count(*) as n from (select unnest(string_split(w, '')) as c) group by c))"""
+_ENTROPY = rf"""
+    with t as (select sample_id, text, unnest(regexp_extract_all(text, '{_WS.replace("[", "[^", 1)}+')) as w from adversarial
+               where length(text) >= 12 and len(regexp_extract_all(text, '{_CJK}')) * 1.0 / length(text) <= 0.6),
+    k as (select * from t where length(w) >= 8 and not {_HEXLIKE.format("w")} and not regexp_matches(w, '[$(){{}}:\\/]')),
+    bad as (select distinct sample_id from k where
+              (len(regexp_extract_all(w, '\p{{L}}')) >= 6 and len(list_filter(range(1, length(w)), lambda i: list_contains({_PAIRS}, substr(upper(w), i, 2)))) * 1.0 / (length(w) - 1) < 0.15)
+              or (length(w) >= 37 and {_ENTROPY_OF} > 5.2))
+    select a.sample_id, cast(case when bad.sample_id is null then 0 else 1 end as bigint) as n_hits, bad.sample_id is not null as fired, text as normalized
+    from adversarial a left join bad on a.sample_id = bad.sample_id"""
+
+_ZONE = """case when unicode(c) < 128 or unicode(c) between 65281 and 65374 then 0 when unicode(c) between 1024 and 1327 then 1
+    when unicode(c) between 880 and 1023 then 2 when regexp_matches(c, '{cjk}') then 3 else 4 end""".replace("{cjk}", _CJK)
+_CJK_HALT = f"""
+    with g as (select sample_id, text from adversarial where length(text) >= 12 and len(regexp_extract_all(text, '{_CJK}')) * 1.0 / length(text) >= 0.4),
+    z as (select sample_id, list_transform(string_split(text, ''), lambda c: {_ZONE}) as zs from g),
+    p as (select sample_id, list_transform(range(1, len(zs) + 1), lambda i: zs[i] * 5 + zs[len(zs) + 1 - i]) as ks from z),
+    w as (select sample_id, i, unnest(list_slice(ks, i, i + 5)) as k from (select sample_id, ks, unnest(range(1, len(ks) - 4)) as i from p)),
+    e as (select sample_id, i, -sum(n / 6.0 * ln(n / 6.0)) as h from (select sample_id, i, k, count(*) as n from w group by 1, 2, 3) group by 1, 2),
+    hot as (select distinct sample_id from e where h > 0.55)
+    select a.sample_id, cast(case when hot.sample_id is null then 0 else 1 end as bigint) as n_hits, hot.sample_id is not null as fired,
+           case when hot.sample_id is null then text else '' end as normalized
+    from adversarial a left join hot on a.sample_id = hot.sample_id"""
+
+_SCRIPT = """case when unicode(c) < 128 then 0 when unicode(c) between 1024 and 1327 then 1 when unicode(c) between 880 and 1023 or unicode(c) between 7936 and 8191 then 2
+    when unicode(c) between 19968 and 40959 or unicode(c) between 12352 and 12543 then 3 else 4 end"""
+_INTERFERENCE = f"""
+    with z as (select doc_id, text, list_transform(string_split(text, ''), lambda c: {_SCRIPT}) as zs from documents)
+    select doc_id, case when text is null or text = '' then 0.0 else
+        round(cast(cast(len(list_filter(list_zip(zs, list_reverse(zs)), lambda x: x[1] <> x[2])) as float) / cast(len(zs) as float) as double), 4) end as interference from z"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL by query."""
+    return {
+        "nfc_fold": _whole("nfc_normalize(text)", "new <> text"),
+        "invisible_strip": _removed(T.INVISIBLE),
+        "bidi_strip": _removed(T.BIDI),
+        "fullwidth_fold": _whole(f"translate(text, '{_FULL}', '{_PLAIN}')", "new <> text"),
+        "cjk_halt": _CJK_HALT,
+        "unicode_unescape": _UNICODE,
+        "rot13_decode": _whole(_ROT, f"len(list_filter({_K}, lambda k: contains(lower(new), k) and not contains(lower(text), k))) > 0"),
+        "url_decode": _URL,
+        "html_decode": _HTML,
+        "leet_fold": _LEET,
+        "script_intrusion": _stay(_INTRUSION),
+        "entropy_bigram": _ENTROPY,
+        "split_keyword": _stay(_SPLIT),
+        "script_interference": _INTERFERENCE,
+        "audit_hash": "select doc_id, sha256(text) as input_hash, length(text) as input_len from documents",
+    }
