@@ -82,14 +82,3 @@ def swapped(text: Column, table: dict[str, str]) -> Column:
     """Each character replaced by its entry in a table of single characters."""
     return F.translate(text, "".join(table), "".join(table.values()))
 
-
-def class_of(chars: str) -> str:
-    """A character class of many characters, as ranges."""
-    points = sorted(map(ord, chars))
-    ranges: list[list[int]] = []
-    for p in points:
-        if ranges and p == ranges[-1][1] + 1:
-            ranges[-1][1] = p
-        else:
-            ranges.append([p, p])
-    return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"

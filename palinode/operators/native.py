@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palinode.functions import tables as T
 from palinode.functions.config import Config
 from palinode.functions.expressions import (
-    any_keyword, character, characters, class_of, count, first_keyword, hit, is_scalar, let, no_hits, pieces, replaced_if, result, swapped,
+    any_keyword, character, characters, count, first_keyword, hit, is_scalar, let, no_hits, pieces, replaced_if, result, swapped,
 )
 
 _NON_ASCII = r"[^\x00-\x7F]"
@@ -195,18 +195,24 @@ def homoglyph(t: Column, cfg: Config, spark: SparkSession) -> Column:
 
     The ratio is the interference of scripts, measured before the replacement.
     """
-    table = T.homoglyphs(spark)
-    look = class_of("".join(table))
-    tokens = pieces(t, rf"[{T.SPACE}]+|[^{T.SPACE}]+")
-    eligible = lambda x: ~x.rlike(rf"^[{T.SPACE}]") & (x.rlike("[A-Za-z0-9]") | x.rlike(rf"^{look}+$"))
+    # white space parts words and is never replaced
+    table = {c: to for c, to in T.homoglyphs(spark).items() if not re.match(r"\s", c) and to != " "}
+    tokens = lambda x: pieces(x, rf"[{T.SPACE}]+|[^{T.SPACE}]+")
+
+    # a word of look-alikes alone has no ASCII before and nothing else after
+    eligible = lambda old, new: old.rlike("[A-Za-z0-9]") | (new.rlike(r"^[\x00-\x7F]+$") & old.rlike(r"^[^\x00-\x7F]+$"))
+
+    def chosen(swap: Column) -> Column:
+        words = F.zip_with(tokens(t), tokens(swap), lambda old, new: F.when((old != new) & eligible(old, new), new).otherwise(old))
+        return F.when(swap == t, t).otherwise(F.array_join(words, ""))
 
     def replaced(new: Column) -> Column:
         fired = new != t
         hits = F.when(fired, F.array(hit(t, new, "look-alike characters replaced"))).otherwise(no_hits())
         return result(new, hits, interference(t))
 
-    new = F.when(t.rlike(look), F.array_join(F.transform(tokens, lambda x: F.when(eligible(x), swapped(x, table)).otherwise(x)), "")).otherwise(t)
-    return F.when(t.isNotNull(), let(new, replaced))
+    plain = F.when(t.isNotNull(), result(t, no_hits()))
+    return F.when(t.rlike(_NON_ASCII), let(let(swapped(t, table), chosen), replaced)).otherwise(plain)
 
 
 def script_intrusion(t: Column, cfg: Config) -> Column:
