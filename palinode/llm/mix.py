@@ -84,16 +84,18 @@ def quotas(rows: DataFrame, targets: DataFrame, category: str, keys: list[str],
 def sample_to_mix(rows: DataFrame, targets: DataFrame, category: str, keys: list[str], size: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """A sample of ``rows`` with the proportions of ``targets`` (``category``, ``share``, ``min_rows``), and the report.
 
-    ``keys`` identify a row. The sample has all columns of ``rows`` and ``mix_category``, the name as in ``targets``. Within a category every
-    row is equally likely; the draw depends on ``seed`` and the keys only. Rows of categories that are not wanted, and
+    ``keys`` identify a row. The sample has all columns of ``rows`` and ``mix_category``, the name as in ``targets`` (a column
+    of that name in ``rows`` is replaced). Within a category every row is equally likely; the draw depends on ``seed`` and the keys only. Rows of categories that are not wanted, and
     rows with a null category, are never drawn. Repeated rows are drawn independently of each other, equal ones in any
     order. Empty ``rows`` give an empty sample and a report in which every category with a positive minimum is exhausted.
     The number of target categories is taken to be small (a table that people write).
     """
     report = quotas(rows, targets, category, keys, size, seed)
-    plan = report.select("__key", F.col("category").alias("mix_category"), "cut_bin", "cut_rank").where("cut_bin is not null")
-    kept = _reservoirs(rows, category, keys, seed).join(plan, "__key")
-    whole = kept.where("__bin < cut_bin")
+    plan = report.where("cut_bin is not null").select(
+        "__key", F.col("category").alias("mix_category"), F.col("cut_bin").alias("__cut_bin"), F.col("cut_rank").alias("__cut_rank")
+    )
+    kept = _reservoirs(rows.drop("mix_category"), category, keys, seed).join(plan, "__key")
+    whole = kept.where("__bin < __cut_bin")
     edge = Window.partitionBy("__key").orderBy("__priority", *keys)
-    part = kept.where("__bin = cut_bin").withColumn("__nth", F.row_number().over(edge)).where("__nth <= cut_rank").drop("__nth")
-    return whole.unionByName(part).drop("__key", "__priority", "__bin", "cut_bin", "cut_rank"), report.drop("__key", "cut_bin", "cut_rank")
+    part = kept.where("__bin = __cut_bin").withColumn("__nth", F.row_number().over(edge)).where("__nth <= __cut_rank").drop("__nth")
+    return whole.unionByName(part).drop("__key", "__priority", "__bin", "__cut_bin", "__cut_rank"), report.drop("__key", "cut_bin", "cut_rank")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palinode.sources.shared import written
+
 
 def baskets(rows: DataFrame, items: Column) -> DataFrame:
     """``basket`` (sorted distinct items without nulls) and ``weight``, the number of rows that have just this basket.
@@ -27,7 +29,7 @@ def pair_counts(rows: DataFrame, items: Column) -> DataFrame:
     by chance the pair occurs; ``conviction`` is that of a -> b, null where a never occurs without b.
     Items are compared as they are: tidy them first. Empty input gives no rows.
     """
-    distinct = baskets(rows, items)
+    distinct = written(baskets(rows, items), "baskets")  # read three times, made once
     total = distinct.agg(F.sum("weight").alias("n"))
     single = distinct.select(F.explode("basket").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("count"))
     pairs = (

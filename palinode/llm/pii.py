@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from palinode.sources.shared import written
 
-#: Share of a term's occurrences that must be with protected entities, and how many bits above chance that must be.
-WORD_SHARE, CONTEXT_SHARE, BITS = 0.25, 0.2, 1.0
+#: Share of a term's occurrences that must be with protected entities, and how many bits above chance that must be unless the
+#: share is SURE (where most runs are names, chance is high).
+WORD_SHARE, CONTEXT_SHARE, BITS, SURE = 0.25, 0.2, 1.0, 0.5
 #: A word seen so often and hardly ever as a name is none.
 COMMON = 8
 #: A lexicon has at most so many words; they are sent to every task.
@@ -294,7 +295,7 @@ def disclosure(counts: DataFrame, words: DataFrame) -> DataFrame:
     told = each.join(F.broadcast(base), "role").withColumn("share", F.col("with") / F.col("all")).withColumn("bits", F.log2(F.col("share") / F.col("base")))
     enough = F.when(F.col("role") == "context", CONTEXT_SHARE).otherwise(WORD_SHARE)
     some = F.col("with") >= F.when(F.col("role") == "lead", 3).otherwise(1)  # a middle name is a lead now and then
-    strong = told.where(some & (F.col("share") >= enough) & (F.col("bits") >= BITS)).select("term", "role", "share", "bits")
+    strong = told.where(some & (F.col("share") >= enough) & ((F.col("bits") >= BITS) | (F.col("share") >= SURE))).select("term", "role", "share", "bits")
     named = told.where(F.col("role").isin("given", "family")).groupBy("term").agg(F.max("share").alias("best"))
     weak = (
         words.join(named, "term", "left")
