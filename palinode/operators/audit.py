@@ -65,7 +65,7 @@ def records(analyzed: DataFrame, text: str = "text", at: Column | None = None) -
     return out.withColumn("detections", record)
 
 
-def to_line(df: DataFrame) -> Column:
+def to_line() -> Column:
     """A record as one line of JSON, fields in order, nulls kept."""
     return F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
 

@@ -96,7 +96,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 def audit_record(spark: SparkSession, d: str) -> DataFrame:
     """The audit record of every sample as a line."""
     made = _records(spark, d)
-    return made.select("sample_id", audit.to_line(made).alias("line"))
+    return made.select("sample_id", audit.to_line().alias("line"))
 
 
 def audit_sign_verify(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def append_lines(df: DataFrame, path: str) -> None:
     """Append audit records to a folder of JSONL files, one line each."""
-    df.select(to_line(df).alias("value")).write.mode("append").text(path)
+    df.select(to_line().alias("value")).write.mode("append").text(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
