@@ -104,7 +104,7 @@ class Normalizer:
             on = kind in self.kinds or kind == "homoglyph" and "script-intrusion" in self.kinds
             if not on:
                 continue
-            out = out.withColumn("__now", F.when(F.rand(0) >= 0, run_pass(kind, F.col("__text"), cfg, spark)))
+            out = out.withColumn("__now", F.when(F.spark_partition_id() >= 0, run_pass(kind, F.col("__text"), cfg, spark)))
             found = _detections(kind, F.coalesce(F.col("__now.hits"), no_hits()))
             if kind == "script-intrusion":
                 # only where the look-alikes before it replaced nothing
