@@ -1,3 +1,3 @@
-"""palinode: text de-obfuscation, evasion scoring and auditing as Spark DataFrame plans."""
+"""palinode: finding hidden instructions in text, scoring and auditing them, as Spark DataFrame plans."""
 
 __version__ = "0.1.0"

@@ -114,14 +114,15 @@ def rot13(t: Column, cfg: Config) -> Column:
     """Words of four letters or more are rotated by 13, if that shows a keyword that was not there."""
     tokens = pieces(t, rf"[{T.ASCII_SPACE}]+|[^{T.ASCII_SPACE}]+")
     turned = F.array_join(F.transform(tokens, lambda x: F.when(x.rlike(r"^[A-Za-z]{4,}$"), F.translate(x, _LETTERS, _TURNED)).otherwise(x)), "")
-    # a keyword in the rotated words needs its rotation, or a part of it, in the text
+    # a keyword that appears stands, at least with one of its words, in the text rotated as a whole
+    gate = any_keyword(F.lower(F.translate(t, _LETTERS, _TURNED)))
     words = F.array(*map(F.lit, T.KEYWORDS))
 
     def judged(new: Column) -> Column:
         shown = F.when(any_keyword(F.lower(new)), F.exists(words, lambda k: F.contains(F.lower(new), k) & ~F.contains(F.lower(t), k))).otherwise(False)
         return replaced_if(shown & (new != t), t, new, "words rotated by 13 show a keyword")
 
-    return F.when(t.isNotNull(), let(turned, judged))
+    return F.when(gate, let(turned, judged)).when(t.isNotNull(), result(t, no_hits()))
 
 
 def url_encoding(t: Column, cfg: Config) -> Column:
