@@ -69,7 +69,7 @@ _ID = re.compile(
 )
 
 _UP = "A-ZÀ-ÖØ-ÞĀČŁŚŠŻŽА-ЯЁ"
-_LO = "a-zß-öø-ÿā-ſа-яё'’�"
+_LO = "a-zß-öø-ÿā-ſа-яё'’�¶"  # the last two as left by a wrong decoding
 _CAP = rf"[{_UP}](?:[{_LO}{_UP}]*)"
 #: Words for kinds of streets, before or after the name.
 _AFTER = "street|st|road|rd|lane|ln|avenue|ave|drive|dr|court|ct|close|crescent|way|terrace|square|sq|boulevard|blvd|place|pl|row|hill|gardens|grove|mews"
@@ -78,7 +78,7 @@ _BEFORE = (
     "|via|viale|piazza|corso|rua|улица|ул|проспект|пр|переулок|набережная"
 )
 _LINK = "de la|de los|de las|de l['’]|de|du|des|del|della|di|da|do|dos|la|le|les|d['’]"
-_NO = rf"(?:(?:No|no|NO|Nr|nr|N)\.?[º°]?{_B}?|n\.?[º°]{_B}?|№{_B}?)"
+_NO = rf"(?:(?:No|no|NO|Nr|nr|N)\.?[º°]?{_B}?|n\.?[º°єÂ�]{{1,2}}{_B}?|№{_B}?)"
 _HOUSE = rf"\d{{1,4}}(?:{_B}?(?:bis|ter|quater|BIS|TER)\b|{_B}?[A-Za-z]\b|[/-]\d{{1,3}}\b)?"
 _NUMBER_FIRST = re.compile(
     rf"{_HOUSE}(?:{_B}+(?:{_CAP}{_B}+){{1,3}}(?i:(?:{_AFTER})\b)(?:\.(?=\s|,|$))?"
@@ -86,7 +86,7 @@ _NUMBER_FIRST = re.compile(
 )
 _KIND_FIRST = re.compile(rf"(?<!\w)(?i:(?:{_BEFORE})(?!\w)\.?){_B}*(?:(?i:{_LINK}){_B}+)*{_CAP}(?:{_B}{_CAP}){{0,2}},?{_B}*(?:{_NO})?$")
 _NAME_FIRST = re.compile(
-    rf"(?<!\w)(?:{_CAP}[-{_B[1:-1]}]){{0,2}}(?:{_CAP})?(?i:stra(?:ß|ss)e|str\.?|weg|gasse|allee|platz|ring|damm|ufer){_B}+(?:{_NO})?$"
+    rf"(?<!\w)(?:{_CAP}[-{_B[1:-1]}]){{0,2}}(?:{_CAP})?(?i:stra(?:[^\sa-z]{{1,2}}|ss)e|str\.?|weg|gasse|allee|platz|ring|damm|ufer){_B}+(?:{_NO})?$"
 )
 #: Endings of German street names.
 _ENDINGS = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer")
@@ -130,7 +130,7 @@ def _streets(text: str) -> Iterator[tuple[int, int]]:
         words = text[max(0, a - 40) : a].split()
         last = words[-2] if len(words) > 1 and _NUMBERED.search(words[-1]) else words[-1] if words else ""
         last = last.rstrip(".,")
-        if last and (last[0].isupper() or last.lower().endswith(_ENDINGS)) and (house := _HOUSE_AT.match(text, a)):
+        if last and (last[0].isupper() or last.lower().endswith(_ENDINGS) or "stra" in last) and (house := _HOUSE_AT.match(text, a)):
             low = max(0, a - 96)
             before = _NAME_FIRST.search(text, low, a) or _KIND_FIRST.search(text, low, a)
             if before and text[before.start()] != " ":
