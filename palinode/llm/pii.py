@@ -97,6 +97,8 @@ _DIGITS = re.compile(r"\d[\d()\s./\xa0\u2009\u202f-]{4,}\d")
 
 #: Particles between given and family name.
 _PARTICLE = "van|von|de|del|della|der|den|la|le|da|di|du|dos|das|af|av|zu|ten|ter|el|al|bin|ibn|y|van de|van der|von der|de la"
+#: Titles, which are no part of a name.
+_TITLES = set("mr mrs ms miss mx dr prof sir lady frau herr fräulein m mme mlle madame monsieur maître sr sra srta don doña señor señora dom dona signor signora".split())
 _PART = rf"{_CAP}(?:[-‐]{_CAP})*"
 _RUN = re.compile(rf"(?<![\w@.'’-]){_PART}(?:,?{_B}+(?:(?:{_PARTICLE}){_B}+)*(?:[{_UP}]\.(?={_B})|{_PART}))+(?![\w@'’])")
 _TOKEN = re.compile(rf"{_PART}\.?|(?:{_PARTICLE})(?=\W)|,")
@@ -319,7 +321,7 @@ def names_in(run: str, terms: list[str], told: dict[str, dict[str, float]], role
         return any(roles.get(p) == role or role in told.get(p, ()) for p in (_key(word), *re.split("[-‐]", _key(word))))
 
     def no_name(word: str) -> bool:
-        return bool({"plain", "lead"} & told.get(_key(word), {}).keys())
+        return _key(word) in _TITLES or bool({"plain", "lead"} & told.get(_key(word), {}).keys())
 
     for a, b, given, family in _spans(pieces):
         if taken & set(range(a, b)):
