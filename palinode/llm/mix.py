@@ -41,7 +41,7 @@ def quotas(rows: DataFrame, targets: DataFrame, category: str, keys: list[str],
     """
     seen = _reservoirs(rows, category, keys, seed)
     hist = seen.groupBy("__key", "__bin").agg(F.count(F.lit(1)).alias("n"))
-    total = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    size = rows.count() // 2 if size is None else size
     # at most BINS rows per category here, whatever the number of rows
     below = Window.partitionBy("__key").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     spread = hist.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
@@ -58,12 +58,9 @@ def quotas(rows: DataFrame, targets: DataFrame, category: str, keys: list[str],
         .withColumn("__nth", F.row_number().over(first))
         .where("__nth = 1")
     )
-    if size is None:
-        aim = wanted.crossJoin(total.select(F.floor(F.col("rows") / 2).cast("decimal(18,0)").alias("size")))  # one row
-    else:
-        aim = wanted.withColumn("size", F.lit(size).cast("decimal(18,0)"))
     aim = (
-        aim.withColumn("wanted", F.greatest("min_rows", F.ceil(F.col("share") * F.col("size")).cast("bigint")))
+        wanted.withColumn("size", F.lit(size).cast("decimal(18,0)"))
+        .withColumn("wanted", F.greatest("min_rows", F.ceil(F.col("share") * F.col("size")).cast("bigint")))
         .join(counts, "__key", "left")
         .withColumn("available", F.coalesce("available", F.lit(0)))
         .withColumn("quota", F.least("wanted", "available"))

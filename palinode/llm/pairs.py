@@ -30,7 +30,7 @@ def pair_counts(rows: DataFrame, items: Column) -> DataFrame:
     Items are compared as they are: tidy them first. Empty input gives no rows.
     """
     distinct = written(baskets(rows, items), "baskets")  # read three times, made once
-    total = distinct.agg(F.sum("weight").alias("n"))
+    total = distinct.agg(F.sum("weight")).first()[0] or 0
     single = distinct.select(F.explode("basket").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("count"))
     pairs = (
         distinct.where(F.size("basket") > 1)
@@ -43,7 +43,7 @@ def pair_counts(rows: DataFrame, items: Column) -> DataFrame:
     return (
         pairs.join(single.select(F.col("item").alias("item_a"), F.col("count").alias("count_a")), "item_a")
         .join(single.select(F.col("item").alias("item_b"), F.col("count").alias("count_b")), "item_b")
-        .crossJoin(total)  # one row
+        .withColumn("n", F.lit(total).cast("bigint"))
         .select(
             "item_a", "item_b", "together", "count_a", "count_b", "n",
             (both * n / (a * b)).alias("lift"),

@@ -23,7 +23,7 @@ from palinode.sources.shared import written
 WORD_SHARE, CONTEXT_SHARE, BITS, SURE = 0.25, 0.2, 1.0, 0.5
 #: A word seen so often and hardly ever as a name is none.
 COMMON = 8
-#: A lexicon has at most so many words; they are sent to every task.
+#: A lexicon may have so many words, as they are sent to every task; a larger one is refused.
 MAX_LEXICON = 500_000
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 
@@ -346,8 +346,10 @@ def find(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: st
     counted over all documents, and the decision on a run sees only the counts of its own terms, by a join.
     """
     kind = dict(documents.dtypes)[key]
-    known = lexicon.where("token is not null and role is not null").select("token", "role").distinct().limit(MAX_LEXICON).toLocalIterator()
-    roles = {_key(r["token"]): r["role"] for r in known}
+    known = lexicon.where("token is not null and role is not null").select("token", "role").distinct()
+    if known.count() > MAX_LEXICON:
+        raise ValueError(f"the lexicon has more than {MAX_LEXICON} words")
+    roles = {_key(r["token"]): r["role"] for r in known.toLocalIterator()}
     facts = written(scan(documents, key, text), "pii")
     fixed = facts.where("kind = 'found'").select("doc", F.col("key").alias("pii_type"), "start", F.col("body").alias("surface"))
     words = written(facts.where("kind = 'word'").groupBy(F.col("key").alias("term")).agg(F.sum("n").alias("n"), F.sum("low").alias("low")), "words")
