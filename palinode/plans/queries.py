@@ -12,7 +12,7 @@ from palinode.functions.config import Config
 from palinode.operators import audit, native
 from palinode.operators.pipeline import Normalizer, evaluate_corpus, explode_detections, run_pass
 from palinode.plans.api import analyze_text
-from palinode.sources.shared import table
+from palinode.sources.shared import spread, table
 
 #: The query of each pass.
 PASS_QUERIES = {
@@ -37,7 +37,7 @@ def _rounded(score: Column) -> Column:
 
 
 def _analyzed(spark: SparkSession, d: str) -> DataFrame:
-    return analyze_text(table(spark, d, "adversarial"))
+    return analyze_text(spread(table(spark, d, "adversarial")))
 
 
 def script_interference(spark: SparkSession, d: str) -> DataFrame:
@@ -70,14 +70,14 @@ def confidence(spark: SparkSession, d: str) -> DataFrame:
 def corpus_eval(spark: SparkSession, d: str) -> DataFrame:
     """Detection and block counts per category, the misses being n - flagged."""
     named = table(spark, d, "adversarial").withColumn("category", F.lower(F.trim("category")))
-    return evaluate_corpus(Normalizer().analyze(named))
+    return evaluate_corpus(Normalizer().analyze(spread(named.select("category", "text"))))
 
 
 def corpus_rates(spark: SparkSession, d: str) -> DataFrame:
     """Overall rates of both corpora; flagged harmless samples are false positives."""
     both = table(spark, d, "adversarial").select(F.lit("adversarial").alias("corpus"), "text")
     both = both.unionByName(table(spark, d, "benign").select(F.lit("benign").alias("corpus"), "text"))
-    counts = evaluate_corpus(Normalizer().analyze(both), "corpus")
+    counts = evaluate_corpus(Normalizer().analyze(spread(both)), "corpus")
     return counts.select("*", F.round(F.col("flagged") / F.col("n"), 6).alias("flag_rate"), F.round(F.col("blocked") / F.col("n"), 6).alias("block_rate"))
 
 
@@ -89,7 +89,7 @@ def audit_hash(spark: SparkSession, d: str) -> DataFrame:
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Records timed by the row, so that runs can be compared."""
-    rows = table(spark, d, "adversarial")
+    rows = spread(table(spark, d, "adversarial"))
     return audit.records(Normalizer().analyze(rows), at=audit.iso_utc(F.col("sample_id") * 61))
 
 
@@ -118,7 +118,7 @@ def audit_chain(spark: SparkSession, d: str) -> DataFrame:
 
 def documents_scan(spark: SparkSession, d: str) -> DataFrame:
     """Decisions on whole documents."""
-    out = Normalizer().analyze(table(spark, d, "documents").select("doc_id", "text"))
+    out = Normalizer().analyze(spread(table(spark, d, "documents").select("doc_id", "text")))
     return out.select("doc_id", _rounded(F.col("score")).alias("score"), "should_flag", "should_block", "halted")
 
 
