@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +24,7 @@ from palinode.sources.shared import written
 MIN_WORDS, PER_ERROR, SHINGLE = 15, 6, 4
 #: A longer passage than twice MIN_WORDS has a half that is a passage too, so only up to 4 errors need to be looked for.
 MAX_ERRORS = (2 * MIN_WORDS - 1) // PER_ERROR
-#: A shingle that more items than this share is a stock phrase; a passage needs one clean shingle that is none.
-STOCK_ITEMS = 3
-#: Errors move what follows in the stream by no more characters than this.
+#: Room around the part of a document that may hold an item.
 DRIFT = 64
 BLOCK_CHARS = 4_000_000
 
@@ -57,12 +55,9 @@ class Shingles:
         self.items = {i: w for i, t in items if len(w := words(t)) >= MIN_WORDS}
         texts = sorted({"".join(w[k : k + SHINGLE]) for w in self.items.values() for k in range(len(w) - SHINGLE + 1)})
         self.number = {t: n for n, t in enumerate(texts)}
-        self.shared = np.zeros(len(texts), np.int64)
-        for item in self.items:
-            self.shared[sorted(set(self.of(item)))] += 1
 
     def __getstate__(self) -> dict:
-        return {"items": self.items, "number": self.number, "shared": self.shared}
+        return {"items": self.items, "number": self.number}
 
     def machine(self):  # noqa: ANN201
         if not hasattr(self, "_machine"):
@@ -170,27 +165,16 @@ def verified(met: DataFrame, shingles: Shingles, prefixes: dict[int, list[tuple[
     """
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places: dict[int, list[tuple[int, int]]] = {}
-        for item in shingles.items:
-            for k, n in enumerate(shingles.of(item)):
-                if shingles.shared[n] <= STOCK_ITEMS:
-                    places.setdefault(n, []).append((item, k))
         offsets = {i: np.cumsum([0, *map(len, w)]).tolist() for i, w in shingles.items.items()}
         for pdf in frames:
             rows = []
             for key, stream, edges, hits, ends in zip(*(pdf[c] for c in ("key", "stream", "edges", "hits", "ends")), strict=True):
                 edges, hits, ends = edges.tolist(), hits.tolist(), ends.tolist()
-                # where the document has shingles that tell an item from others
-                telling: dict[int, list[tuple[int, int]]] = {}
-                for n, end in zip(hits, ends, strict=True):
-                    for item, k in places.get(n, ()):
-                        off = offsets[item]
-                        telling.setdefault(item, []).append((k, end - off[k + SHINGLE]))
                 done: set[int] = set()
                 tried: set[tuple[int, int]] = set()
                 for n, end in zip(hits, ends, strict=True):
                     for item, k in prefixes.get(n, ()):
-                        if item in done or item not in telling:
+                        if item in done:
                             continue
                         off = offsets[item]
                         origin = end - off[k + SHINGLE]
@@ -200,11 +184,9 @@ def verified(met: DataFrame, shingles: Shingles, prefixes: dict[int, list[tuple[
                         w, start = shingles.items[item], origin + off[k]
                         reach = 2 * off[-1] + DRIFT
                         low, high = max(0, start - reach), min(len(stream), start + reach)
-                        near = [e - low for e in edges if low <= e <= high]
-                        for a, b in passages(w, k, stream[low:high], start - low, near):
-                            if any(a <= j and j + SHINGLE <= b and abs(o - origin) <= DRIFT for j, o in telling[item]):
-                                done.add(item)
-                                break
+                        near = [e - low for e in edges[bisect_left(edges, low) : bisect_right(edges, high)]]
+                        if passages(w, k, stream[low:high], start - low, near):
+                            done.add(item)
                 rows += [(key, item) for item in done]
             yield pd.DataFrame(rows, columns=["key", "item_id"])
 
@@ -216,7 +198,7 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     """``key``, ``item_id``: the documents that hold a passage of an item (``item_id`` bigint, ``text``), distinct.
 
     A passage is at least MIN_WORDS running words of the item of which at most one in PER_ERROR is changed, left out or added.
-    One whose clean words are stock phrases only, each found in more than STOCK_ITEMS items, doesn't tell which item leaked and is not reported.
+    One that is in several items, such as a stock phrase, is reported for each of them.
     Items of fewer words leak nothing; null texts are skipped, documents with a null key are reported under it.
     Every document is read once per block of items; a block has at most about BLOCK_CHARS characters, so that no table is
     broadcast whose size is unknown. Rarity is counted over all documents.

@@ -271,6 +271,14 @@ def test_leaks(spark):
     assert leakage.leaked(docs.limit(0), items).count() == 0 and leakage.leaked(docs, items.limit(0)).count() == 0
 
 
+def test_passages_of_many_items_are_reported_for_each(spark):
+    # the same question in six suites, and six questions that share their first 18 words
+    rows = [(k, " ".join(_item(1))) for k in range(6)] + [(k, " ".join(_item(2)[:18] + _item(k)[:12])) for k in range(6, 12)]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = spark.createDataFrame([(0, "see " + " ".join(_item(1)) + " there"), (1, " ".join(_item(2)[:18]))], "doc_id bigint, text string")
+    assert values(leakage.leaked(docs, items)) == [(0, k) for k in range(6)] + [(1, k) for k in range(6, 12)]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(_item(k))) for k in range(12)], "item_id bigint, text string")
     docs = spark.createDataFrame([(k, "see " + " ".join(_item(k)[3:25])) for k in range(0, 12, 2)], "doc_id bigint, text string")
