@@ -160,8 +160,7 @@ def passages(item: list[str], k: int, stream: str, start: int, edges: list[int])
 def verified(met: DataFrame, shingles: Shingles, prefixes: dict[int, list[tuple[int, int]]]) -> DataFrame:
     """``key``, ``item_id`` of the contacts whose prefix shingles are part of a passage.
 
-    Bounds before the comparison: hits at one place of the item are one run and are tried once, and the comparison reads a
-    window of the document no larger than the item.
+    Hits in one run of clean words have the same passages around them, so each run is tried once.
     """
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,17 +170,20 @@ def verified(met: DataFrame, shingles: Shingles, prefixes: dict[int, list[tuple[
             for key, stream, edges, hits, ends in zip(*(pdf[c] for c in ("key", "stream", "edges", "hits", "ends")), strict=True):
                 edges, hits, ends = edges.tolist(), hits.tolist(), ends.tolist()
                 done: set[int] = set()
-                tried: set[tuple[int, int]] = set()
+                tried: dict[tuple[int, int], int] = {}  # where the last clean run of an item at an origin ends
                 for n, end in zip(hits, ends, strict=True):
                     for item, k in prefixes.get(n, ()):
                         if item in done:
                             continue
                         off = offsets[item]
                         origin = end - off[k + SHINGLE]
-                        if (item, origin) in tried:
+                        if k < tried.get((item, origin), 0):
                             continue
-                        tried.add((item, origin))
                         w, start = shingles.items[item], origin + off[k]
+                        clean = k + SHINGLE
+                        while clean < len(w) and stream.startswith(w[clean], origin + off[clean]):
+                            clean += 1
+                        tried[item, origin] = clean
                         reach = 2 * off[-1] + DRIFT
                         low, high = max(0, start - reach), min(len(stream), start + reach)
                         near = [e - low for e in edges[bisect_left(edges, low) : bisect_right(edges, high)]]

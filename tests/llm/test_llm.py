@@ -271,6 +271,16 @@ def test_leaks(spark):
     assert leakage.leaked(docs.limit(0), items).count() == 0 and leakage.leaked(docs, items.limit(0)).count() == 0
 
 
+def test_a_match_before_the_passage_does_not_hide_it(spark):
+    w = _item(1)
+    # four clean words, six others of the same length each, twenty clean ones
+    leak = w[:4] + [x[::-1] for x in w[4:10]] + w[10:]
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id bigint, text string")
+    # the other documents make the first shingle the rarest, which is looked for first
+    docs = spark.createDataFrame([(0, " ".join(leak)), *[(k, " ".join(w[10:])) for k in range(1, 4)]], "doc_id bigint, text string")
+    assert values(leakage.leaked(docs, items)) == [(k, 1) for k in range(4)]
+
+
 def test_passages_of_many_items_are_reported_for_each(spark):
     # the same question in six suites, and six questions that share their first 18 words
     rows = [(k, " ".join(_item(1))) for k in range(6)] + [(k, " ".join(_item(2)[:18] + _item(k)[:12])) for k in range(6, 12)]
