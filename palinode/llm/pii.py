@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palinode.sources.shared import written
@@ -21,8 +21,8 @@ from palinode.sources.shared import written
 #: Share of a term's occurrences that must be with protected entities, and how many bits above chance that must be unless the
 #: share is SURE (where most runs are names, chance is high).
 WORD_SHARE, CONTEXT_SHARE, BITS, SURE = 0.25, 0.2, 1.0, 0.5
-#: A word seen so often and hardly ever as a name is none.
-COMMON = 8
+#: A word is no name if its share plus so many standard errors is under half of WORD_SHARE; a context is sure if its share less as many is SURE.
+ERRORS = 2.0
 #: A lexicon may have so many words, as they are sent to every task; a larger one is refused.
 MAX_LEXICON = 500_000
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
@@ -213,33 +213,38 @@ FACTS = "kind string, key string, doc string, start int, body string, terms arra
 
 def scan(documents: DataFrame, key: str, text: str) -> DataFrame:
     """One pass over the texts. Rows of three kinds: ``found`` (fixed forms: type in ``key``), ``run`` (capitalised words with the
-    terms around them) and ``word`` (how often each word is written with and without a capital, per task)."""
+    terms around them; ``n`` is 0 in a copy) and ``word`` (how often each word is written with and without a capital, per task).
+
+    Copies of a text come to one task, and only the first of them counts as usage of the language."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
+        texts: set[int] = set()
         columns = ["kind", "key", "doc", "start", "body", "terms", "n", "low"]
         for pdf in frames:
             rows = []
-            for doc, t in zip(pdf["key"], pdf["text"], strict=True):
-                if t is None:
-                    continue
+            for doc, t, digest in zip(pdf["key"], pdf["text"], pdf["digest"], strict=True):
+                first = digest not in texts
+                texts.add(digest)
                 taken = fixed_forms(t)
                 rows += [("found", kind, doc, a, t[a:b], None, 0, 0) for kind, a, b in taken]
                 rest = t
                 for _, a, b in reversed(taken):  # words inside addresses are no usage of the language
                     rest = f"{rest[:a]} {rest[b:]}"
-                seen.update(_WORDS.findall(rest))
+                if first:
+                    seen.update(_WORDS.findall(rest))
                 for m in _RUN.finditer(t):
                     a, b = m.span()
                     if not any(s < b and a < e for _, s, e in taken):
-                        rows.append(("run", None, doc, a, m[0], _context(t, a, b), 0, 0))
+                        rows.append(("run", None, doc, a, m[0], _context(t, a, b), int(first), 0))
             yield pd.DataFrame(rows, columns=columns)
         counts: dict[str, list[int]] = {}
         for w, n in seen.items():
             counts.setdefault(_key(w), [0, 0])[w[0].islower()] += n
         yield pd.DataFrame([("word", w, None, 0, None, None, n, low) for w, (n, low) in counts.items() if n], columns=columns)
 
-    rows = documents.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    rows = documents.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("text is not null")
+    rows = rows.withColumn("digest", F.xxhash64("text")).repartition("digest")
     return rows.mapInPandas(look, FACTS)
 
 
@@ -285,8 +290,14 @@ def co_occurrence(runs: DataFrame, roles: dict[str, str]) -> DataFrame:
     return runs.select("body", "terms").mapInPandas(count, "term string, role string, near bigint, with bigint")
 
 
+def _bound(share: Column, seen: Column, z: float) -> Column:
+    """Wilson's bound of a share, ``z`` standard errors off."""
+    return (share + z * z / (2 * seen) + z * F.sqrt(share * (1 - share) / seen + z * z / (4 * seen * seen))) / (1 + z * z / seen)
+
+
 def disclosure(counts: DataFrame, words: DataFrame) -> DataFrame:
-    """``term``, ``role``, ``share``, ``bits`` of the terms that give a person away, and with role ``plain`` the words that do not.
+    """``term``, ``role``, ``share``, ``bits`` of the terms that give a person away, and the words that do not: with role ``capital`` if they
+    are never written small, else ``plain``. Contexts and leads that surely stand with entities have the role ``sure`` besides.
 
     ``share`` is the part of the term's occurrences that stand with a protected entity, shrunk towards none where there are few;
     ``bits`` is its pointwise mutual information with such entities over the whole corpus.
@@ -299,19 +310,22 @@ def disclosure(counts: DataFrame, words: DataFrame) -> DataFrame:
     some = F.col("with") >= F.when(F.col("role") == "lead", 3).otherwise(1)  # a middle name is a lead now and then
     strong = told.where(some & (F.col("share") >= enough) & ((F.col("bits") >= BITS) | (F.col("share") >= SURE))).select("term", "role", "share", "bits")
     named = told.where(F.col("role").isin("given", "family")).groupBy("term").agg(F.max("share").alias("best"))
+    sure = told.where(some & F.col("role").isin("context", "lead") & (_bound(F.col("share"), F.col("all"), -ERRORS) >= SURE))
+    most = _bound(F.coalesce("best", F.lit(0.0)), F.col("n") + F.col("low") + 0.5, ERRORS)
     weak = (
         words.join(named, "term", "left")
-        .where((F.col("low") > F.col("n")) | ((F.col("n") >= COMMON) & (F.coalesce("best", F.lit(0.0)) < WORD_SHARE / 2)))
-        .select("term", F.lit("plain").alias("role"), F.lit(1.0).alias("share"), F.lit(0.0).alias("bits"))
+        .where((F.col("low") > F.col("n")) | (most < WORD_SHARE / 2))
+        .select("term", F.when(F.col("low") == 0, "capital").otherwise("plain").alias("role"), F.lit(1.0).alias("share"), F.lit(0.0).alias("bits"))
     )
-    return strong.unionByName(weak)
+    return strong.unionByName(weak).unionByName(sure.select("term", F.lit("sure").alias("role"), "share", "bits"))
 
 
 def names_in(run: str, terms: list[str], told: dict[str, dict[str, float]], roles: dict[str, str]) -> list[tuple[int, int]]:
     """Start and end of the names in a run. ``told`` has the disclosing terms of the run by role.
 
     A name needs words on both sides that the lexicon or the corpus knows in that role; or, in a disclosing context, words of
-    which none is known to be no name.
+    which none is known to be no name. What is left then is looked at again: where a context is sure, a word that the corpus knows from
+    elsewhere, but never writes small, may be a name too.
     """
     pieces = _parts(run)
     out: list[tuple[int, int]] = []
@@ -320,18 +334,18 @@ def names_in(run: str, terms: list[str], told: dict[str, dict[str, float]], role
     def side(word: str, role: str) -> bool:
         return any(roles.get(p) == role or role in told.get(p, ()) for p in (_key(word), *re.split("[-‐]", _key(word))))
 
-    def no_name(word: str) -> bool:
-        return _key(word) in _TITLES or bool({"plain", "lead"} & told.get(_key(word), {}).keys())
+    def no_name(word: str, sure: bool) -> bool:
+        return _key(word) in _TITLES or bool({"plain", "lead", *(() if sure else ("capital",))} & told.get(_key(word), {}).keys())
 
-    for a, b, given, family in _spans(pieces):
+    for (a, b, given, family), again in [(s, again) for again in (False, True) for s in _spans(pieces)]:
         if taken & set(range(a, b)):
             continue
         fits = [side(g, "given") for g in given] + [side(f, "family") for f in family]
-        doubtful = [no_name(w) for w in (*given, *family)]
-        near = (
-            any(t in told for t in terms if t[0] == ("l" if a == 0 else "-") or t[0] == ("r" if b == len(pieces) else "-"))
-            or a > 0 and "lead" in told.get(_key(pieces[a - 1][0]), ())
-        )
+        beside = [told[t] for t in terms if t in told and (t[0] == "l" and a == 0 or t[0] == "r" and b == len(pieces))]
+        if a > 0 and "lead" in (before := told.get(_key(pieces[a - 1][0]), {})):
+            beside.append(before)
+        near = bool(beside)
+        doubtful = [no_name(w, again and any("sure" in x for x in beside)) for w in (*given, *family)]
         if all(fits) and (near or not any(doubtful)) or near and not any(d and not f for d, f in zip(doubtful, fits, strict=True)):
             out.append((pieces[a][1], pieces[b - 1][2]))
             taken |= set(range(a, b))
@@ -357,8 +371,9 @@ def find(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: st
     own = documents.sparkSession.createDataFrame([(w,) for w in roles], "term string")
     for r in words.join(F.broadcast(own), "term").where("low > n").toLocalIterator():
         del roles[r["term"]]
-    runs = facts.where("kind = 'run'").select("doc", "start", "body", "terms")
-    told = disclosure(co_occurrence(runs, roles), words)
+    every = facts.where("kind = 'run'")
+    told = disclosure(co_occurrence(every.where("n > 0"), roles), words)
+    runs = every.select("doc", "start", "body", "terms")
     evidence = told.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("role", "share"))).alias("shares"))
     inner = F.split(F.lower("body"), "[^\\p{L}'’\ufffd-]+")
     halves = F.split(F.lower("body"), "[^\\p{L}'’\ufffd]+")

@@ -349,3 +349,18 @@ def test_names_by_co_occurrence(spark):
     out = {r["doc_id"]: r["redacted"] for r in pii.redact(docs, found).collect()}
     assert out[0] == "The bench is old. Please ask for [NAME] at the desk." and out[rows[-3][0]] is None and out[rows[-2][0]] == "" and len(out) == len(rows)
     assert pii.find(docs.limit(0), lexicon).count() == 0 and pii.find(docs, lexicon.limit(0)).count() == 0
+
+
+def test_names_do_not_depend_on_the_number_of_mentions(spark):
+    given, family = ["Mirka", "Nevka", "Jorto"], ["Zarnley", "Brenquist", "Wolmark"]
+    lexicon = spark.createDataFrame([(t, "given") for t in given] + [(t, "family") for t in family], "token string, role string")
+    texts = [f"Day {k}. Please ask for {given[k % 3]} {family[k // 3 % 3]} at the desk." for k in range(60)]
+    texts += [f"Room {k}. The Tax Office is closed. The bench is old." for k in range(60)]
+    spread = [f"Hall {k}. Please ask for Ulroto Hespersen at the desk." for k in range(30)]
+    copied = ["Please ask for Vantor Ellmark at the desk."] * 12
+    last = "Please ask for Mirka Zarnley Tax"
+    rows = list(enumerate([*texts, *spread, *copied, last, None]))
+    found = pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"), lexicon).where("pii_type = 'person_name'")
+    by = Counter(r["surface"] for r in found.collect())
+    assert by["Ulroto Hespersen"] == 30 and by["Vantor Ellmark"] == 12
+    assert not any("Tax" in surface for surface in by)
