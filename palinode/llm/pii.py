@@ -42,8 +42,8 @@ _EMAIL = re.compile(
 #: Ends of file names that also follow an at-sign (image densities, scripts).
 _FILES = {"png", "jpg", "jpeg", "gif", "svg", "webp", "css", "js", "ico", "avif", "pdf"}
 
-_AT_SIGNS = ("@", "＠", "&#64;", "%40", "[at]", "(at)", "[AT]", "(AT)", "{at}", "[ at", "( at", "(a)", "[a]", "arroba", " dot ", " DOT ")
-_AT_ANY = re.compile(rf"[@＠]|&#64;|%40|[\[({{<]{_B}?(?:at|AT|a|arroba){_B}?[\])}}>]|{_B}(?:at|AT){_B}")
+#: Every at-sign of _EMAIL; a spelt one only before a label and a spelt dot.
+_AT_ANY = re.compile(rf"[@＠]|&#64;|%40|[\[({{<]{_B}*(?:at|AT|a|arroba){_B}*[\])}}>]|{_B}(?:at|AT)(?={_B}+{_LABEL}{_SPELT_DOT})")
 #: Longer than any mail address on either side of its sign.
 _MAIL = 260
 
@@ -107,8 +107,6 @@ _WINDOW = 48
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    if not any(x in text for x in _AT_SIGNS):
-        return
     at = 0
     for n in _AT_ANY.finditer(text):
         for m in _EMAIL.finditer(text, max(at, n.start() - _MAIL), n.end() + _MAIL):

@@ -317,6 +317,17 @@ def test_fixed_forms_are_found_whole(kind, text):
         assert [(k, full[a:b]) for k, a, b in pii.fixed_forms(full)] == [(kind, text)]
 
 
+@pytest.mark.parametrize("at", ["<at>", "{AT}", "[ AT ]", "{ at }", "[\u00a0at]", "[  at  ]", "<arroba>"])
+def test_every_at_sign_is_read(at):
+    text = f"write to ann{at}mail.example now"
+    assert [(k, text[a:b]) for k, a, b in pii.fixed_forms(text)] == [("email", f"ann{at}mail.example")]
+
+
+def test_a_spelt_address_with_no_break_spaces():
+    text = "write to ann at mail\u00a0dot\u00a0example now"
+    assert [(k, text[a:b]) for k, a, b in pii.fixed_forms(text)][0][0] == "email"
+
+
 @pytest.mark.parametrize("text", NOT)
 def test_other_numbers_are_left(text):
     assert pii.fixed_forms(text) == []
