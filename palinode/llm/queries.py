@@ -69,8 +69,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Rate of wrong answers of smaller fingerprints, measured with absent keys."""
-    return _seen(spark, d, 16).audit()
+    """Rate of wrong answers of the filters of ``p3_found``, measured with absent keys."""
+    return _seen(spark, d, 32).audit()
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,22 +89,32 @@ class SeenBefore:
         return self.records.select("id").join(self.new(), "id", "left_anti")
 
     def audit(self, probes: int = 50_000) -> DataFrame:
-        """Per generation: ``gen``, ``n_keys``, ``bits_per_key``, ``probes`` with keys that are certainly absent, ``wrong`` answers, ``wrong_rate``, ``expected_rate``.
+        """Per generation: ``gen``, ``n_keys``, ``bits_per_key``, ``probes`` with keys that are absent, ``wrong`` answers, ``wrong_rate``, ``expected_rate``,
+        and per answer that asks this and all earlier generations ``answers_wrong``, ``answer_rate``, ``expected_answer_rate``.
 
-        The absent keys are texts with a prefix that no digest has; each shard of a generation gets ``probes`` of them.
+        The absent keys are texts with a prefix that no digest has, about ``probes`` a shard; they are hashed and dealt to shards as all keys.
         """
-        bits = self.bits
-
-        def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rng = np.random.default_rng(5)
-            h1, h2 = (rng.integers(-(2**63), 2**63 - 1, probes, dtype=np.int64) for _ in range(2))
-            for pdf in frames:
-                wrong = [int(ribbon.probe(b, h1, h2).sum()) for b in pdf["filter"]]
-                yield pd.DataFrame({"gen": pdf["gen"], "n_keys": pdf["n_keys"], "bytes": pdf["filter"].map(len), "wrong": wrong})
-
-        each = self.filters.mapInPandas(one, "gen int, n_keys bigint, bytes bigint, wrong bigint")
-        sums = each.groupBy("gen").agg(*[F.sum(c).alias(c) for c in ("n_keys", "bytes", "wrong")], (F.count(F.lit(1)) * probes).alias("probes"))
+        n, bits, gens = probes * self.shards, self.bits, range(BEFORE, self.generations + 1)
+        absent = self.records.sparkSession.range(n).select(F.concat(F.lit("absent "), "id").cast(dict(self.records.dtypes)["key"]).alias("key"))
+        absent = _hashed(absent).select(_shard(self.shards), "h1", "h2")
+
+        def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            h1, h2 = left["h1"].to_numpy(), left["h2"].to_numpy()
+            filters = {g: (k, blob) for g, k, blob in zip(right["gen"], right["n_keys"], right["filter"], strict=True)}
+            met, rows = np.zeros(len(left), bool), []
+            for g in gens:
+                keys, blob = filters.get(g, (0, b""))
+                hit = ribbon.probe(blob, h1, h2) if blob else np.zeros(len(left), bool)
+                met |= hit
+                rows.append((g, keys, len(blob), len(left), int(hit.sum()), int(met.sum())))
+            return pd.DataFrame(rows, columns=["gen", "n_keys", "bytes", "probes", "wrong", "answers_wrong"])
+
+        schema = "gen int, n_keys bigint, bytes bigint, probes bigint, wrong bigint, answers_wrong bigint"
+        each = absent.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(one, schema)
+        sums = each.groupBy("gen").agg(*[F.sum(c).alias(c) for c in ("n_keys", "bytes", "probes", "wrong", "answers_wrong")])
+        sums = sums.where("n_keys > 0")
         return sums.select(
             "gen", "n_keys", (8.0 * F.col("bytes") / F.col("n_keys")).alias("bits_per_key"), "probes", "wrong",
-            (F.col("wrong") / F.col("probes")).alias("wrong_rate"), F.lit(2.0**-bits).alias("expected_rate"),
+            (F.col("wrong") / F.col("probes")).alias("wrong_rate"), F.lit(2.0**-bits).alias("expected_rate"), "answers_wrong",
+            (F.col("answers_wrong") / F.col("probes")).alias("answer_rate"), ((F.col("gen") - BEFORE + 1) * 2.0**-bits).alias("expected_answer_rate"),
         )

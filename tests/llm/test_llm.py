@@ -123,6 +123,17 @@ def test_seen_before_matches_brute_force(spark):
     assert empty.seen().count() == 0
 
 
+def test_audit_asks_as_answers_do(spark):
+    rows = [(i, f"k{i}", i) for i in range(3000)]
+    log, before = spark.createDataFrame([*rows, (3000, "absent 7", 3000)], "id bigint, key string, us bigint"), spark.createDataFrame([("b",)], "key string")
+    # a stored key of the form of the absent ones is met where it is stored, so they are hashed and dealt as all keys
+    got = {r["gen"]: r for r in SeenBefore(log, before).audit(1000).collect()}
+    assert [g for g, r in got.items() if r["wrong"]] == [15] and got[15]["answers_wrong"] == 1
+    got = [r for r in SeenBefore(log, before, 8).audit(20_000).orderBy("gen").collect()]
+    assert all(a["answers_wrong"] <= b["answers_wrong"] <= a["answers_wrong"] + b["wrong"] for a, b in zip(got, got[1:], strict=False))
+    assert 0.5 < got[-1]["answer_rate"] / got[-1]["expected_answer_rate"] < 1.5
+
+
 def test_digests_instants_and_names(spark):
     h = "ab" * 32
     forms = [h, h.upper(), ":".join(["AB"] * 32), "0x" + h, "sha256:" + h, f" {h}\n", h[:40], "n/a", "", None]
