@@ -1,7 +1,7 @@
 """One consistent form for texts that look the same.
 
 Strings and code points that a reader cannot tell apart are united by union-find: the Unicode Character Database
-gives width forms, joined letters, blanks and composition, a short table gives letters of other scripts. Each class is
+gives width forms, joined letters, blanks and composition, a short table and the confusables of the Unicode library give letters of other scripts. Each class is
 written as its most frequent member, and texts are rewritten by the longest patterns first with a multi-pattern automaton.
 """
 
@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palinode.functions.tables import skeletons
+
 #: Letters of other scripts (left) that look like the Latin letter (right), case by case.
 SAME_LETTER = (
     ("аАαΑ", "aAaA"), ("ВΒ", "BB"), ("сСϲϹ", "cCcC"), ("ԁ", "d"), ("еЕΕ", "eEE"), ("ԌGԍ", "GGG"), ("һНΗ", "hHH"), ("іІιΙӀ", "iIiII"),
@@ -63,6 +65,22 @@ class UnionFind:
         return [sorted(c) for c in by.values() if len(c) > 1]
 
 
+def _confusable() -> Iterator[tuple[str, str]]:
+    """Letters that look like one other letter of the same case, by the Unicode library; the hand list goes first.
+
+    Letters with a decomposition (accents, bold and script forms) are left to the Unicode data.
+    """
+    known = {a for foreign, _ in SAME_LETTER for a in foreign}
+    for ch, to in skeletons(SparkSession.getActiveSession()).items():
+        if ch.isascii() or ch in known or len(to) != 1 or invisible(ch) or unicodedata.decomposition(ch) or unicodedata.decomposition(to):
+            continue
+        kind = unicodedata.category(ch)
+        if kind in ("Lu", "Lo") and to == "l" and (kind == "Lu" or unicodedata.name(ch, "").startswith("LISU")):
+            to = "I"  # the library writes both as l
+        if kind in ("Lu", "Ll", "Lo") and unicodedata.category(to) in (kind, *(("Lu", "Ll") if kind == "Lo" else ())):
+            yield ch, to
+
+
 @lru_cache(1)
 def look_alike_classes() -> tuple[tuple[str, ...], ...]:
     """The classes of strings that look the same, closed under transitivity. Texts are decomposed before these apply."""
@@ -83,6 +101,8 @@ def look_alike_classes() -> tuple[tuple[str, ...], ...]:
     for foreign, latin in SAME_LETTER:
         for a, b in zip(foreign, latin, strict=True):
             same.union(a, b)
+    for ch, to in _confusable():
+        same.union(ch, to)
     return tuple(tuple(c) for c in same.classes())
 
 

@@ -74,6 +74,14 @@ def test_look_alikes(spark):
         assert rewriter.one(a) != rewriter.one(b), (a, b)
 
 
+def test_letters_of_all_scripts(spark):
+    rewriter = lookalike.Rewriter(lookalike.rewriting({c: 1000 for c in "abcdefghijklmnopqrstuvwxyzABCHINORT "}))
+    for a, b in [("Hat", "\u13bbat"), ("Bat", "\ua4d0at"), ("Cat", "\u2ca4at"), ("big", "bi\u0261"), ("cat", "c\u0251t")]:
+        assert rewriter.one(a) == rewriter.one(b), (a, b)
+    for c in lookalike.look_alike_classes():
+        assert len({x for x in c if len(x) == 1 and x.isascii() and x.isalnum()}) <= 1, c
+
+
 def test_representatives_follow_the_corpus(spark):
     cyrillic = spark.createDataFrame([("оаеоаео",), (None,), ("",), ("o",)], "text string")
     rewriter = lookalike.fitted(cyrillic)
