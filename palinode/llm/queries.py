@@ -151,6 +151,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage of an item in a document, those included in whose place another item stands."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation items by the number of documents that leak them."""
     found = leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))

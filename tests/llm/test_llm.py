@@ -308,13 +308,44 @@ def test_passages_of_many_items_are_reported_for_each(spark):
     assert values(leakage.leaked(docs, items)) == [(0, k) for k in range(6)] + [(1, k) for k in range(6, 12)]
 
 
+def _filled(k):
+    """An item of a template: 24 words, every sixth of its own."""
+    return [f"own{k}x{n}" if n % 6 == 5 else w for n, w in enumerate(_item(50)[:24])]
+
+
+def test_a_template_loses_to_the_item_that_stands_there(spark):
+    rows = [(k, " ".join(_filled(k))) for k in range(8)] + [(90 + k, " ".join(_filled(3))) for k in range(5)]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    hurt = _filled(4)
+    hurt[2], hurt[14] = "other", "else"
+    # in the last one no item stands, only what all have in common: all are reported
+    docs = spark.createDataFrame([(0, "so " + " ".join(_filled(3)) + " end"), (1, " ".join(hurt)), (2, " ".join(_filled(100)))], "doc_id bigint, text string")
+    want = [(0, 3), *[(0, 90 + k) for k in range(5)], (1, 4), *[(2, r[0]) for r in rows]]
+    assert values(leakage.leaked(docs, items)) == sorted(want)
+    every = leakage.leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in every.where("doc_id = 0 and not stands").collect()} == {(0, k) for k in range(8) if k != 3}
+    assert every.where("own > rival").count() == 0
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(k, " ".join(_item(k))) for k in range(12)], "item_id bigint, text string")
-    docs = spark.createDataFrame([(k, "see " + " ".join(_item(k)[3:25])) for k in range(0, 12, 2)], "doc_id bigint, text string")
-    want = [(k, k) for k in range(0, 12, 2)]
-    assert values(leakage.leaked(docs, items)) == want
+    items = [(k, " ".join(_item(k))) for k in range(12)] + [(20 + k, " ".join(_filled(k))) for k in range(6)] + [(30 + k, " ".join(_item(2))) for k in range(8)]
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = [(k, "see " + " ".join(_item(k)[3:25])) for k in range(0, 12, 2)] + [(20, " ".join(_filled(1))), (2**60 + 1, "a " + " ".join(_item(5))), (None, " ".join(_item(7)))]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = [(k, k) for k in range(0, 12, 2)] + [(2, 30 + k) for k in range(8)] + [(20, 21), (2**60 + 1, 5), (None, 7)]
+    found = lambda: {tuple(r) for r in leakage.leaked(docs, items).collect()}
+    assert found() == set(want)
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 700)
-    assert values(leakage.leaked(docs, items)) == want
+    assert found() == set(want)
+
+
+def test_the_filter_of_documents_never_misses(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "bc", "word", "wörter", "x1"]) for _ in range(40)) for _ in range(30)]
+    known = leakage.filter_of(spark.createDataFrame([(t,) for t in texts], "text string"))
+    streams = [leakage.letters(leakage.plain(t)) for t in texts]
+    assert known.may_hold(streams).all() and known.short and known.lengths
+    assert known.may_hold(["", "zzzz", "q" * 2_000_000 + streams[0]]).tolist() == [False, False, True]
 
 
 # 9 ------------------------------------------------------------------------------------------------------------------
