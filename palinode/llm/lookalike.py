@@ -7,17 +7,20 @@ written as its most frequent member, and texts are rewritten by the longest patt
 
 from __future__ import annotations
 
+import hashlib
+import re
 import sys
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palinode.functions.tables import skeletons
+from palinode.sources.shared import written
 
 #: Letters of other scripts (left) that look like the Latin letter (right), case by case.
 SAME_LETTER = (
@@ -41,6 +44,19 @@ def invisible(ch: str) -> bool:
     return kind == "Cf" and cp not in _SHOWN_FORMAT or kind == "Cc" and ch not in "\t\n\r\x0b\x0c\x85"
 
 
+@lru_cache(1)
+def _nothing_shown() -> re.Pattern[str]:
+    """A pattern of runs of invisible characters."""
+    spans: list[list[int]] = []
+    for cp in range(sys.maxunicode + 1):
+        if invisible(chr(cp)):
+            if spans and spans[-1][1] == cp - 1:
+                spans[-1][1] = cp
+            else:
+                spans.append([cp, cp])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]+")
+
+
 class UnionFind:
     """Disjoint classes of hashable things."""
 
@@ -108,18 +124,33 @@ def look_alike_classes() -> tuple[tuple[str, ...], ...]:
 
 def character_counts(texts: DataFrame) -> dict[str, int]:
     """How often each member of a class occurs in ``text`` over all rows; as many entries at most as the classes have members."""
-    members = {x for c in look_alike_classes() for x in c if len(x) == 1}
+    members = np.array(sorted({ord(x) for c in look_alike_classes() for x in c if len(x) == 1}))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
+        seen = np.zeros(sys.maxunicode + 1, np.int64)
         for pdf in frames:
-            for text in pdf["text"].dropna():
-                seen.update(text)
-        kept = [(c, n) for c, n in seen.items() if c in members]
-        yield pd.DataFrame(kept, columns=["ch", "n"])
-
-    counts = texts.select("text").mapInPandas(count, "ch string, n bigint").groupBy("ch").agg(F.sum("n").alias("n"))
-    return {r["ch"]: r["n"] for r in counts.collect()}
+            for text in _chunks(pdf["text"].dropna()):
+                codes = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+                seen[: len(codes)] += codes
+        there = members[seen[members] > 0]
+        yield pd.DataFrame({"cp": there.astype(np.int32), "n": seen[there]})
+
+    counts = texts.select("text").mapInPandas(count, "cp int, n bigint").groupBy("cp").agg(F.sum("n").alias("n"))
+    return {chr(r["cp"]): r["n"] for r in counts.collect()}
+
+
+def _chunks(texts: Iterable[str], size: int = 1 << 20) -> Iterator[str]:
+    """Texts put together to about ``size`` characters each."""
+    held: list[str] = []
+    n = 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= size:
+            yield "".join(held)
+            held, n = [], 0
+    if held:
+        yield "".join(held)
 
 
 def rewriting(counts: dict[str, int]) -> dict[str, str]:
@@ -167,9 +198,10 @@ class Rewriter:
         if text.isascii() and text.isprintable() and not self.ascii_moves():
             return text
         text = unicodedata.normalize("NFD", text.replace("\r\n", "\n"))
-        text = "".join([c for c in text if c.isascii() and c.isprintable() or not invisible(c)])
-        # dropping may have brought marks together, so their order is settled again
-        text = unicodedata.normalize("NFD", text)
+        bare = _nothing_shown().sub("", text)
+        if len(bare) < len(text):
+            # dropping may have brought marks together, so their order is settled again
+            text = unicodedata.normalize("NFD", bare)
         out, at = [], 0
         for end, (length, to) in self._automaton().iter_long(text):
             out += [text[at : end + 1 - length], to]
@@ -197,22 +229,54 @@ def fitted(texts: DataFrame) -> Rewriter:
     return Rewriter(rewriting(character_counts(texts)))
 
 
-def same_looking(texts: DataFrame, rewriter: Rewriter) -> DataFrame:
-    """``tbl``, ``look`` (class id), ``variants`` (different texts in the class), ``id``, ``text``: the rows of ``texts`` (``tbl``, ``id``,
-    ``text``) that look like another text of their table. Null and blank texts look like nothing."""
-    formed = texts.where("text is not null and text <> ''").withColumn("form", rewriter.column(F.col("text"))).where("trim(form) <> ''")
-    keyed = formed.select("tbl", "id", "text", F.sha2("form", 256).alias("look"))
-    mixed = (
-        keyed.groupBy("tbl", "look")
-        .agg(F.min("text").alias("least"), F.max("text").alias("most"), F.approx_count_distinct("text").alias("variants"))
-        .where("least <> most")
-        .drop("least", "most")
-    )
-    return keyed.join(mixed, ["tbl", "look"]).select("tbl", "look", "variants", "id", "text")
-
-
-def pairs(same: DataFrame) -> DataFrame:
-    """``tbl``, ``id_a`` < ``id_b``: the rows of ``same_looking`` whose texts differ. Exact copies of one text are no pair."""
-    a = same.select("tbl", "look", F.col("id").alias("id_a"), F.col("text").alias("text_a"))
-    b = same.select("tbl", "look", F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    return a.join(b, ["tbl", "look"]).where("id_a < id_b and text_a <> text_b").select("tbl", "id_a", "id_b").distinct()
+def keyed(texts: DataFrame, rewriter: Rewriter) -> DataFrame:
+    """``tbl``, ``id``, ``look``, ``body`` of the rows of ``texts`` (``tbl``, ``id``, ``text``): digests of the consistent form and of the text itself.
+
+    Null texts and texts that show nothing have no row, repeated rows one. Every text is rewritten once; the result is written, and no text goes further.
+    """
+
+    @F.pandas_udf("struct<look:binary,body:binary>")
+    def digests(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            form = None if t is None else rewriter.one(t)
+            shown = form is not None and form.strip(" ") != ""
+            rows.append((_digest(form), _digest(t)) if shown else (None, None))
+        return pd.DataFrame(rows, columns=["look", "body"])
+
+    # a function that may differ from call to call is not called again for each use of its result
+    both = texts.select("tbl", "id", digests.asNondeterministic()("text").alias("d"))
+    return written(both.select("tbl", "id", "d.look", "d.body"), "looks").where("look is not null").distinct()
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _variants(keys: DataFrame) -> DataFrame:
+    """``tbl``, ``look``, ``body``, ``copies`` of the different texts of each class."""
+    return keys.groupBy("tbl", "look", "body").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def classes(keys: DataFrame) -> DataFrame:
+    """``tbl``, ``look``, ``variants`` (different texts) and ``rows`` of the classes with more than one text."""
+    return _variants(keys).groupBy("tbl", "look").agg(F.count(F.lit(1)).alias("variants"), F.sum("copies").alias("rows")).where("variants > 1")
+
+
+def members(keys: DataFrame) -> DataFrame:
+    """``tbl``, ``id``, ``look``, ``variants``, ``links``: one row for each row that looks like another text, with its class and the number of rows that differ from it."""
+    of = _variants(keys).join(classes(keys), ["tbl", "look"])
+    return keys.join(of, ["tbl", "look", "body"]).select("tbl", "id", "look", "variants", (F.col("rows") - F.col("copies")).alias("links"))
+
+
+def pairs(keys: DataFrame) -> DataFrame:
+    """``tbl``, ``id_a`` < ``id_b``: the rows of ``keyed`` that look the same and whose texts differ. Exact copies of one text are no pair.
+
+    The different texts of a class are paired first and their rows joined to them after, so copies of a text are never compared with each other.
+    ``members`` has the same in as many rows as the table.
+    """
+    mixed = _variants(keys).join(classes(keys).select("tbl", "look"), ["tbl", "look"], "left_semi").select("tbl", "look", "body")
+    two = mixed.withColumnRenamed("body", "body_a").join(mixed.withColumnRenamed("body", "body_b"), ["tbl", "look"]).where("body_a < body_b")
+    side = lambda s: keys.select("tbl", "look", F.col("body").alias(f"body_{s}"), F.col("id").alias(f"id_{s}"))
+    each = two.join(side("a"), ["tbl", "look", "body_a"]).join(side("b"), ["tbl", "look", "body_b"]).where("id_a <> id_b")
+    return each.select("tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palinode.llm import heavy, leakage, lookalike, mix, packing, pairs, pii, quantiles
 from palinode.llm.common import day_of, digest_of, instant_us, pass_name
 from palinode.llm.seen import SeenBefore
-from palinode.sources.shared import table, written
+from palinode.sources.shared import table
 
 #: Capacity of a container in tokens; the public byte-level tokenizer has a token per UTF-8 byte and one for the end.
 CAPACITY = 4096
@@ -46,8 +46,17 @@ def _looks(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of rows whose texts look the same and differ."""
+    return lookalike.pairs(_looking(spark, d))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row that looks like another text of its table, with its class and the number of such rows."""
+    return lookalike.members(_looking(spark, d)).withColumn("look", F.lower(F.hex("look")))
+
+
+def _looking(spark: SparkSession, d: str) -> DataFrame:
     texts = _looks(spark, d)
-    return lookalike.pairs(written(lookalike.same_looking(texts, lookalike.fitted(texts)), "looks"))
+    return lookalike.keyed(texts, lookalike.fitted(texts))
 
 
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:

@@ -92,9 +92,26 @@ def test_representatives_follow_the_corpus(spark):
 def test_same_looking_pairs(spark):
     rows = [("t", 1, "ignore"), ("t", 2, "іgnore"), ("t", 3, "ignore"), ("u", 4, "ignorе"), ("t", 5, None), ("t", 6, ""), ("t", 7, "​"), ("t", 8, "x" * 20000), ("t", 9, "x" * 19999 + "х")]
     texts = spark.createDataFrame(rows, "tbl string, id bigint, text string")
-    found = lookalike.pairs(lookalike.same_looking(texts, lookalike.fitted(texts)))
-    assert values(found) == [("t", 1, 2), ("t", 2, 3), ("t", 8, 9)]
-    assert lookalike.pairs(lookalike.same_looking(texts.limit(0), lookalike.fitted(texts.limit(0)))).count() == 0
+    keys = lookalike.keyed(texts, lookalike.fitted(texts))
+    assert values(lookalike.pairs(keys)) == [("t", 1, 2), ("t", 2, 3), ("t", 8, 9)]
+    got = {(r["tbl"], r["id"]): (r["variants"], r["links"]) for r in lookalike.members(keys).collect()}
+    assert got == {("t", 1): (2, 1), ("t", 3): (2, 1), ("t", 2): (2, 2), ("t", 8): (2, 1), ("t", 9): (2, 1)}
+    assert sorted((r["variants"], r["rows"]) for r in lookalike.classes(keys).collect()) == [(2, 2), (2, 3)]
+    none = texts.limit(0)
+    assert lookalike.pairs(lookalike.keyed(none, lookalike.fitted(none))).count() == 0
+
+
+def test_every_text_is_rewritten_once(spark):
+    rows = [("t", k, f"text {k % 7}" + "\u200b" * (k % 3)) for k in range(200)] + [("t", 5, "text 5\u200b\u200b"), ("t", None, "text 1")]
+    texts = spark.createDataFrame(rows, "tbl string, id bigint, text string")
+    plan = lookalike.pairs(lookalike.keyed(texts, lookalike.fitted(texts)))
+    assert "ArrowEvalPython" not in plan._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for _, k, t in rows:
+        if k is not None:
+            by.setdefault(t.replace("\u200b", ""), set()).add((k, t))
+    want = {(min(a, b), max(a, b)) for c in by.values() for a, s in c for b, t in c if s != t and a != b}
+    assert {(r["id_a"], r["id_b"]) for r in plan.collect()} == want
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------
