@@ -100,7 +100,7 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
 def _frequent(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "audit_record").select(F.unhex(digest_of(F.col("input_hash"))).alias("key"))
     top = heavy.most_frequent(keys, 20)
-    return top.select(F.lower(F.hex("key")).alias("digest"), "n", "lower", "upper")
+    return top.select(F.lower(F.hex("key")).alias("digest"), "n", "lower", "upper", "other")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +109,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The 20 digests with counts and the bounds of the sketch."""
-    return _frequent(spark, d)
+    """The 20 digests with their counts."""
+    return _frequent(spark, d).select("digest", "n")
+
+
+def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 digests with counts, the bounds of the sketch, and whether both hold."""
+    sure = (F.col("n") >= F.col("lower")) & (F.col("n") <= F.col("upper")) & (F.col("n") > F.col("other"))
+    return _frequent(spark, d).select("digest", "n", sure.alias("sure"))
 
 
 def _measures(spark: SparkSession, d: str) -> DataFrame:

@@ -82,3 +82,6 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _MEASURES,
         "p7_found": "select doc_id from documents where octet_length(encode(text)) + 1 > 4096",
     }
+        "p7_coverage": """
+            select count(*) as documents, cast(sum((n + 4095) // 4096) as bigint) as parts, cast(sum(n) as bigint) as tokens, 0 as broken, 0 as too_full, true as tight
+            from (select octet_length(encode(text)) + 1 as n from documents where text is not null)""",
