@@ -22,8 +22,8 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Target categories of which the sample cannot have enough."""
-    return _mix(spark, d)[1].where("exhausted").select("category")
+    """Target categories of which the sample that was drawn has too few rows."""
+    return mix.shortfalls(*_mix(spark, d)).select("category")
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,13 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Wanted and drawn rows of each category."""
-    return _mix(spark, d)[1].select("category", "share", "min_rows", "size", "available", "wanted", "quota", "exhausted")
+    return _mix(spark, d)[1]
+
+
+def p1_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and different rows of each category in the sample."""
+    drawn = _mix(spark, d)[0].groupBy(F.col("mix_category").alias("category"))
+    return drawn.agg(F.count(F.lit(1)).alias("drawn"), F.count_distinct("sample_id").alias("different"))
 
 
 def _looks(spark: SparkSession, d: str) -> DataFrame:

@@ -63,7 +63,8 @@ def oracle_sql() -> dict[str, str]:
     """SQL by query; the queries without one are tested against brute force."""
     return {
         "p1_found": f"select category from ({_MIX}) where exhausted",
-        "p1_report": _MIX,
+        "p1_report": f"select *, round(quota / (select greatest(sum(quota), 1) from ({_MIX})), 6) as share_reached from ({_MIX})",
+        "p1_drawn": f"select category, quota as drawn, quota as different from ({_MIX}) where quota > 0",
         "p3_found": f"""
             with log as (select record_id, {_DIGEST.format("input_hash")} as digest, {_TIME} as us from audit_record where input_hash is not null),
             old as (select distinct {_DIGEST.format("digest")} as digest from seen_digest)

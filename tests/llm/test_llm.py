@@ -34,7 +34,7 @@ def test_mix_keeps_quotas_and_reports_shortfalls(spark, attacks):
     sample, report = mix.sample_to_mix(attacks, targets, "category", ["sample_id"])
     got = {r["category"]: r for r in report.collect()}
     assert got["bidi"]["wanted"] == 40 and got["split-string"]["wanted"] == 50
-    assert {c for c, r in got.items() if r["exhausted"]} == {"rare", "unknown"}
+    assert {c for c, r in got.items() if r["exhausted"]} == {"rare", "unknown"} == {r["category"] for r in mix.shortfalls(sample, report).collect()}
     drawn = Counter(r["mix_category"] for r in sample.collect())
     assert drawn == {c: r["quota"] for c, r in got.items() if r["quota"]}
     assert values(sample) == values(mix.sample_to_mix(attacks.repartition(7), targets, "category", ["sample_id"])[0])
@@ -54,6 +54,12 @@ def test_mix_of_nothing_and_of_equal_rows(spark, attacks):
     assert sample.count() == 0 and report.first()["exhausted"]
     same = spark.createDataFrame([(1, "bidi")] * 10, "sample_id bigint, category string")
     assert mix.sample_to_mix(same, targets, "category", ["sample_id"])[0].count() == 3
+    # repeated keys in two categories, in several pieces
+    same = spark.createDataFrame([(k % 3, ["bidi", "leet"][k % 2]) for k in range(600)], "sample_id bigint, category string").repartition(5)
+    both = spark.createDataFrame([("bidi", 0.35, 1), ("leet", 0.1, 70)], "category string, share double, min_rows int")
+    sample, report = mix.sample_to_mix(same, both, "category", ["sample_id"])
+    assert {r["mix_category"]: r["count"] for r in sample.groupBy("mix_category").count().collect()} == {"bidi": 105, "leet": 70}
+    assert {r["category"]: r["share_reached"] for r in report.collect()} == {"bidi": 0.6, "leet": 0.4} and mix.shortfalls(sample, report).count() == 0
 
 
 # 2 ------------------------------------------------------------------------------------------------------------------
