@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from palinode.llm import ribbon
 from palinode.sources.shared import written
 
 GENERATIONS = 16
+#: Records of a generation are equally many to about one in so many of all.
+CUT_ACCURACY = 1000
 SHARD_ROWS = 120_000
 #: The generation of the keys that were there before the first record.
 BEFORE = -1
@@ -59,7 +63,7 @@ class SeenBefore:
     without a key are neither seen nor do they make others seen; records without an id are left out. Other columns are
     ignored. Empty tables give empty answers.
 
-    The time range is cut into ``generations`` of equal length; each is one sealed batch. Within a batch only the first record
+    Time is cut into ``generations`` of about equally many records, whatever single instants are far off; each is one sealed batch. Within a batch only the first record
     of each key can be new, which a grouping finds exactly; rows of one key are combined before the shuffle, so a key
     with a third of all records is one row per partition. Those first records are probed in the filters of all earlier
     batches, shard by shard; a shard holds about ``SHARD_ROWS`` keys whatever the input. Answers "new" are always right;
@@ -69,9 +73,11 @@ class SeenBefore:
     def __init__(self, records: DataFrame, before: DataFrame, bits: int = 32, generations: int = GENERATIONS) -> None:
         self.bits, self.generations = bits, generations
         self.records = records.select("id", "key", "us").where("key is not null and id is not null")
-        low, high, n = self.records.agg(F.min("us"), F.max("us"), F.count(F.lit(1))).first()
-        width = max(1, -(-((high or 0) - (low or 0) + 1) // generations))
-        gen = F.when(F.col("us").isNull(), generations).otherwise(F.floor((F.col("us") - F.lit(low or 0)) / width)).cast("int")
+        shares = [F.lit(k / generations) for k in range(1, generations)]
+        cuts, n = self.records.agg(F.percentile_approx("us", F.array(*shares), F.lit(CUT_ACCURACY)), F.count(F.lit(1))).first()
+        # instants are dealt to generations by how many cuts they are beyond, so equal ones stay together
+        beyond = reduce(lambda a, c: a + F.when(F.col("us") > c, 1).otherwise(0), sorted(set(cuts or ())), F.lit(0))
+        gen = F.when(F.col("us").isNull(), generations).otherwise(beyond).cast("int")
         self.shards = max(1, -(-n // SHARD_ROWS))
         at = F.struct(F.col("us").isNull().alias("late"), "us", "id")
         firsts = self.records.groupBy("key", gen.alias("gen")).agg(F.min(at).alias("at"))

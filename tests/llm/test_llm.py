@@ -165,6 +165,19 @@ def test_audit_asks_as_answers_do(spark):
     assert 0.5 < got[-1]["answer_rate"] / got[-1]["expected_answer_rate"] < 1.5
 
 
+def test_generations_are_filled_whatever_single_instants(spark):
+    rows = [(k, f"k{k % 700}", 10**15 + k) for k in range(1000)] + [(1000, "k5", 0), (1001, "k6", 10**17), (1002, "k7", None)]
+    seen = SeenBefore(spark.createDataFrame(rows, "id bigint, key string, us bigint"), spark.createDataFrame([], "key string"))
+    met, want = set(), set()
+    for i, key, _ in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+        if key in met:
+            want.add(i)
+        met.add(key)
+    assert {r["id"] for r in seen.seen().collect()} == want
+    sizes = [r["count"] for r in seen.firsts.groupBy("gen").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 150
+
+
 def test_digests_instants_and_names(spark):
     h = "ab" * 32
     forms = [h, h.upper(), ":".join(["AB"] * 32), "0x" + h, "sha256:" + h, f" {h}\n", h[:40], "n/a", "", None]
