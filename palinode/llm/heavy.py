@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from palinode.sources.shared import written
 DEPTH = 4
 WIDTH = 4096
 MAX_WIDTH = 1 << 20
+#: Tasks that vote at most (larger inputs are read in more rows each), tasks whose cells are merged at once, and rows up to which bounds are broadcast.
+MAX_TASKS, FAN, BROADCAST_ROWS = 8192, 256, 200_000
 _U = np.uint64
 
 CELLS = "row int, cell int, total bigint, candidate bigint, surplus bigint"
@@ -51,8 +54,8 @@ def _rounds(cells: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
 def sketch(keys: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
     """The merged sketch of ``keys`` (``h``, a 64-bit hash): ``depth`` x ``width`` cells at most, whatever the input.
 
-    Each task votes its rows into one array of cells; the arrays of all tasks are merged cell by cell. Rows with a null
-    hash don't vote.
+    Each task votes its rows into one array of cells, and there are at most ``MAX_TASKS``; the arrays are merged cell by cell in a tree,
+    ``FAN`` tasks at a time. Rows with a null hash don't vote.
     """
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,10 +67,11 @@ def sketch(keys: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> DataFrame
                 for some in _rounds(cells, np.argsort(-n, kind="stable")):
                     _vote(total[row], cand[row], surplus[row], cells[some], h[some], n[some], n[some])
         r, c = np.nonzero(total)
-        yield pd.DataFrame({"row": r.astype(np.int32), "cell": c.astype(np.int32), "total": total[r, c], "candidate": cand[r, c], "surplus": surplus[r, c]})
+        task = TaskContext.get().partitionId()
+        yield pd.DataFrame({"task": np.int32(task), "row": r.astype(np.int32), "cell": c.astype(np.int32), "total": total[r, c], "candidate": cand[r, c], "surplus": surplus[r, c]})
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        # a group has 64 cells of every task
+    def merged(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # a group has 64 cells a row of the sketch of at most FAN tasks
         pdf = pdf.sort_values(["row", "cell", "candidate", "surplus"], ignore_index=True)
         place = (pdf["row"].to_numpy(np.int64) << 32) | pdf["cell"].to_numpy(np.int64)
         places, cells = np.unique(place, return_inverse=True)
@@ -75,10 +79,15 @@ def sketch(keys: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> DataFrame
         h, votes, sums = (pdf[c].to_numpy() for c in ("candidate", "surplus", "total"))
         for some in _rounds(cells, np.arange(len(cells))):
             _vote(total, cand, surplus, cells[some], h[some], votes[some], sums[some])
-        return pd.DataFrame({"row": (places >> 32).astype(np.int32), "cell": (places & 0xFFFFFFFF).astype(np.int32), "total": total, "candidate": cand, "surplus": surplus})
+        return pd.DataFrame({"task": np.int32(group[0]), "row": (places >> 32).astype(np.int32), "cell": (places & 0xFFFFFFFF).astype(np.int32), "total": total, "candidate": cand, "surplus": surplus})
 
-    own = keys.select("h").where("h is not null").mapInPandas(local, CELLS)
-    return own.groupBy(F.shiftright("cell", 6).alias("part")).applyInPandas(merged, CELLS)
+    own = written(keys.select("h").where("h is not null").coalesce(MAX_TASKS).mapInPandas(local, f"task int, {CELLS}"), "votes")
+    tasks = (own.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > FAN:  # the arrays of FAN tasks at a time
+        tasks = -(-tasks // FAN)
+        level = own.groupBy(F.floor(F.col("task") / FAN).cast("int").alias("task"), F.shiftright("cell", 6).alias("part"))
+        own = written(level.applyInPandas(merged, f"task int, {CELLS}"), "votes")
+    return own.groupBy(F.lit(0).alias("task"), F.shiftright("cell", 6).alias("part")).applyInPandas(merged, f"task int, {CELLS}").drop("task")
 
 
 def candidates(cells: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> tuple[pd.DataFrame, int]:
@@ -104,22 +113,24 @@ def candidates(cells: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> tupl
     return pd.DataFrame({"h": h, "lower": lower, "upper": upper}), other
 
 
-def most_frequent(keys: DataFrame, k: int, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
-    """The ``k`` most frequent of ``keys`` (``key``): ``key``, ``n``, ``lower``, ``upper``; equal counts by key, the least first.
+def most_frequent(keys: DataFrame, k: int, depth: int = DEPTH, width: int = WIDTH, max_width: int = MAX_WIDTH) -> DataFrame:
+    """The ``k`` most frequent of ``keys`` (``key``): ``key``, ``n``, ``lower``, ``upper``, ``other``; equal counts by key, the least first.
 
-    The sketch yields candidates with bounds; those that can be among the k are counted exactly. If a key that is no
-    candidate might still be among them the sketch is made again eight times as wide; beyond ``MAX_WIDTH`` (no key is
-    frequent then) all keys are counted. Null keys don't count; fewer than k distinct keys give fewer rows.
+    The sketch yields candidates with bounds; those that can be among the k are counted exactly. ``other`` is the most that any key without
+    a row here and not counted can have: rows with more than that are surely right. If a key that is no candidate might be among the k the sketch
+    is made again, as much wider as its bounds say, up to ``max_width``; memory stays bounded, so where all keys are about equally frequent, rows with
+    ``n`` <= ``other`` are frequent keys, but perhaps not the most frequent. Null keys don't count; fewer than k distinct keys give fewer rows.
     """
     hashed = keys.select("key").where("key is not null").withColumn("h", F.xxhash64("key"))
-    while width <= MAX_WIDTH:
-        found, other = candidates(written(sketch(hashed, depth, width), "votes"), depth, width)
+    while True:
+        found, other = candidates(sketch(hashed, depth, width), depth, width)
         floor = int(found["lower"].nlargest(k).min()) if len(found) >= k else 0
-        if other < floor or other == 0:
-            near = found[found["upper"] >= floor]
-            bounds = keys.sparkSession.createDataFrame(near, "h bigint, lower bigint, upper bigint")  # at most depth x width rows
-            counts = hashed.join(F.broadcast(bounds), "h").groupBy("key", "lower", "upper").agg(F.count(F.lit(1)).alias("n"))
-            return counts.select("key", "n", "lower", "upper").orderBy(F.desc("n"), "key").limit(k)
-        width *= 8
-    counts = hashed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("key", "n", F.col("n").alias("lower"), F.col("n").alias("upper")).orderBy(F.desc("n"), "key").limit(k)
+        if other < floor or other == 0 or width >= max_width:
+            break
+        # what strangers can have falls as the width grows
+        need = 8 if not floor else min(max_width // width, 2 * (other // floor + 1))
+        width = min(max_width, width * (1 << (need - 1).bit_length()))
+    near = found[found["upper"] >= floor]
+    bounds = keys.sparkSession.createDataFrame(near, "h bigint, lower bigint, upper bigint")  # at most depth x width rows
+    counts = hashed.join(F.broadcast(bounds) if len(near) <= BROADCAST_ROWS else bounds, "h").groupBy("key", "lower", "upper").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("key", "n", "lower", "upper", F.lit(other).cast("bigint").alias("other")).orderBy(F.desc("n"), "key").limit(k)

@@ -50,6 +50,11 @@ def _looks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _looking(spark: SparkSession, d: str) -> DataFrame:
+    texts = _looks(spark, d)
+    return lookalike.keyed(texts, lookalike.fitted(texts))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of rows whose texts look the same and differ."""
     return lookalike.pairs(_looking(spark, d))
@@ -60,11 +65,6 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.members(_looking(spark, d)).withColumn("look", F.lower(F.hex("look")))
 
 
-def _looking(spark: SparkSession, d: str) -> DataFrame:
-    texts = _looks(spark, d)
-    return lookalike.keyed(texts, lookalike.fitted(texts))
-
-
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every text in its consistent form."""
     texts = _looks(spark, d)
@@ -153,8 +153,9 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that alone are larger than a container."""
-    return _packed(spark, d).where("n_parts > 1").select("doc_id").distinct()
+    """Documents that were assigned to more than one container, as only those larger than a container are."""
+    of = _packed(spark, d).groupBy("doc_id").agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return of.where("first <> last").select("doc_id")
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +163,20 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What a right packing must show: every token of every text once, no container too full, hardly more containers than the tokens need."""
+    packed = _packed(spark, d)
+    # parts of a text that follow each other without gap have these sums
+    of = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("tokens"), F.max(F.col("start") + F.col("size")).alias("end"), F.max("n_parts").alias("n_parts"))
+    texts = of.agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("parts").alias("parts"), F.sum("tokens").cast("bigint").alias("tokens"),
+        F.count_if((F.col("tokens") != F.col("end")) | (F.col("parts") != F.col("n_parts"))).alias("broken"),
+    )
+    held = packed.groupBy("container").agg(F.sum("size").alias("used"))
+    containers = held.agg(F.count_if(F.col("used") > CAPACITY).alias("too_full"), (F.count(F.lit(1)) <= F.ceil(F.sum("used") / CAPACITY) * 1.02 + 1).alias("tight"))
+    return texts.join(containers)  # one row each
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers are."""
     return packing.fill_report(_packed(spark, d), CAPACITY)

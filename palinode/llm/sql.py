@@ -79,10 +79,12 @@ def oracle_sql() -> dict[str, str]:
                    round(cast(together as double) * n / (cast(count_a as double) * count_b), 6) as lift,
                    case when count_a > together then round((1 - cast(count_b as double) / n) / (1 - cast(together as double) / count_a), 6) end as conviction
             from ({_PAIRS})""",
+        "p5_counts": _TOP,
+        "p5_bounds": f"select *, true as sure from ({_TOP})",
         "p5_found": f"select digest from ({_TOP})",
         "p6_found": _MEASURES,
-        "p7_found": "select doc_id from documents where octet_length(encode(text)) + 1 > 4096",
-    }
         "p7_coverage": """
             select count(*) as documents, cast(sum((n + 4095) // 4096) as bigint) as parts, cast(sum(n) as bigint) as tokens, 0 as broken, 0 as too_full, true as tight
             from (select octet_length(encode(text)) + 1 as n from documents where text is not null)""",
+        "p7_found": "select doc_id from documents where octet_length(encode(text)) + 1 > 4096",
+    }

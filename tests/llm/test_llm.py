@@ -228,6 +228,23 @@ def test_most_frequent_matches_brute_force(spark, width):
     assert all(r["lower"] <= r["n"] <= r["upper"] for r in top)
 
 
+def test_votes_merge_in_a_tree_and_memory_stays_bounded(spark, monkeypatch):
+    keys = spark.createDataFrame([(f"k{k % 37 if k % 3 else 1}",) for k in range(3000)], "key string").repartition(9)
+    whole = candidates_of(heavy.sketch(keys.select(F.xxhash64("key").alias("h")), width=64))
+    monkeypatch.setattr(heavy, "FAN", 2)
+    tree = candidates_of(heavy.sketch(keys.select(F.xxhash64("key").alias("h")), width=64))
+    assert {(r, c): t for r, c, t, _ in tree} == {(r, c): t for r, c, t, _ in whole}
+    top = heavy.most_frequent(keys, 1, width=64).first()
+    assert top["key"] == "k1" and top["lower"] <= top["n"] <= top["upper"] and top["other"] < top["n"]
+    even = spark.createDataFrame([(f"k{k % 500}",) for k in range(2000)], "key string")
+    rows = heavy.most_frequent(even, 5, width=8, max_width=8).collect()
+    assert len(rows) == 5 and all(r["n"] == 4 and r["other"] >= 4 for r in rows)
+
+
+def candidates_of(cells):
+    return sorted((r["row"], r["cell"], r["total"], r["candidate"]) for r in cells.collect())
+
+
 def test_most_frequent_of_nothing_and_of_ties(spark):
     assert heavy.most_frequent(spark.createDataFrame([], "key string"), 5).count() == 0
     ties = spark.createDataFrame([(f"{k:03}",) for k in range(300)], "key string")
