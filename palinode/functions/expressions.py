@@ -58,11 +58,6 @@ def any_keyword(lowered: Column) -> Column:
     return lowered.rlike("|".join(re.escape(k) for k in T.KEYWORDS))
 
 
-def first_keyword(lowered: Column) -> Column:
-    """The first keyword of the list that a text in lower case holds."""
-    return F.element_at(F.filter(F.array(*map(F.lit, T.KEYWORDS)), lambda k: F.contains(lowered, k)), 1)
-
-
 def characters(text: Column) -> Column:
     """The characters of a text."""
     return F.filter(F.split(text, ""), lambda c: c != "")

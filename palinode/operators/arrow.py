@@ -85,7 +85,8 @@ def punycode_label(label: str) -> str | None:
     return "".join(out)
 
 
-def _punycode(table: dict[str, str]) -> Callable[[str], tuple[str, Hits]]:
+def punycode_of(table: dict[str, str]) -> Callable[[str], tuple[str, Hits]]:
+    """Decodes labels that hide a keyword, behind the look-alikes of a table."""
     swap = str.maketrans(table)
     form = re.compile(r"[Xx][Nn]--[A-Za-z0-9-]*")
 
@@ -122,7 +123,9 @@ def base64_text(payload: str) -> str | None:
     return raw.decode("ascii") if all(32 <= b < 127 or b == 10 for b in raw) else None
 
 
-def _base64(cfg: Config) -> Callable[[str], tuple[str, Hits]]:
+def base64_of(cfg: Config) -> Callable[[str], tuple[str, Hits]]:
+    """Decodes calls with base64, and words of it that hide a keyword."""
+
     def function(text: str) -> tuple[str, Hits]:
         hits: Hits = []
         new = text
@@ -171,7 +174,8 @@ def morse_text(signs: str) -> str | None:
     return out
 
 
-def _morse(cfg: Config) -> Callable[[str], tuple[str, Hits]]:
+def morse_of(cfg: Config) -> Callable[[str], tuple[str, Hits]]:
+    """Decodes stretches of Morse signs."""
     span = re.compile(r"[.\-/ ][.\-/ ,;:!]*")
     noise = re.compile("[,;:!]+")
 
@@ -201,7 +205,8 @@ def _morse(cfg: Config) -> Callable[[str], tuple[str, Hits]]:
     return function
 
 
-def _skeleton(table: dict[str, str]) -> Callable[[str], tuple[str, Hits]]:
+def skeleton_of(table: dict[str, str]) -> Callable[[str], tuple[str, Hits]]:
+    """Reduces a text to what it looks like, if that shows a keyword."""
     swap = str.maketrans(table)
 
     def function(text: str) -> tuple[str, Hits]:
@@ -222,19 +227,19 @@ def pre_scan_nfc(t: Column, cfg: Config) -> Column:
 
 def punycode(t: Column, cfg: Config, spark: SparkSession) -> Column:
     """Decodes punycode labels that hide a keyword, also behind look-alikes."""
-    return _pass(_punycode(T.homoglyphs(spark)), t, t.rlike("(?i)xn--"))
+    return _pass(punycode_of(T.homoglyphs(spark)), t, t.rlike("(?i)xn--"))
 
 
 def base64_pass(t: Column, cfg: Config) -> Column:
     """Decodes base64 in calls, and words of base64 that hide a keyword."""
-    return _pass(_base64(cfg), t, t.rlike(rf'[A-Za-z0-9+/=]{{{max(1, min(cfg.base64_min_len, 12))},}}|(?:b64|base64)\.?decode\("|atob\("'))
+    return _pass(base64_of(cfg), t, t.rlike(rf'[A-Za-z0-9+/=]{{{max(1, min(cfg.base64_min_len, 12))},}}|(?:b64|base64)\.?decode\("|atob\("'))
 
 
 def morse_code(t: Column, cfg: Config) -> Column:
     """Decodes stretches of Morse signs."""
-    return _pass(_morse(cfg), t, t.rlike(rf"[.\-/ ][.\-/ ,;:!]{{{max(0, cfg.morse_min_span - 1)},}}"))
+    return _pass(morse_of(cfg), t, t.rlike(rf"[.\-/ ][.\-/ ,;:!]{{{max(0, cfg.morse_min_span - 1)},}}"))
 
 
 def skeleton_match(t: Column, cfg: Config, spark: SparkSession) -> Column:
     """Reduces the text to what it looks like, if that shows a keyword that was not there."""
-    return _pass(_skeleton(T.skeletons(spark)), t, t.rlike(r"[^\x00-\x7F]"))
+    return _pass(skeleton_of(T.skeletons(spark)), t, t.rlike(r"[^\x00-\x7F]"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palinode.functions import tables as T
 from palinode.functions.config import Config
 from palinode.functions.expressions import (
-    any_keyword, character, characters, count, first_keyword, hit, is_scalar, let, no_hits, pieces, replaced_if, result, swapped,
+    any_keyword, character, characters, count, hit, is_scalar, let, no_hits, pieces, replaced_if, result, swapped,
 )
 
 _NON_ASCII = r"[^\x00-\x7F]"
@@ -225,7 +225,7 @@ def script_intrusion(t: Column, cfg: Config) -> Column:
 
 def leetspeak(t: Column, cfg: Config) -> Column:
     """Words that are rich in digits and signs for letters are spelt out; the words are then one space apart. The ratio is the share of such signs."""
-    leet = "[0134567" + "89@!$+|]"
+    leet = "[" + "".join(T.LEET) + "]"
     alpha = lambda w: count(w, r"[\p{IsAlphabetic}\p{N}]")
     words = F.filter(F.split(t, rf"[{T.SPACE}]+"), lambda w: w != "")
 
@@ -294,6 +294,6 @@ def split_string(t: Column, cfg: Config) -> Column:
 
 
 __all__ = [
-    "backslash_escape", "bidi_control", "cjk_superposition", "entropy_bigram", "first_keyword", "fullwidth_chars", "homoglyph", "html_entities",
+    "backslash_escape", "bidi_control", "cjk_superposition", "entropy_bigram", "fullwidth_chars", "homoglyph", "html_entities",
     "interference", "invisible_strip", "leetspeak", "rot13", "script_intrusion", "split_string", "unicode_escape", "url_encoding",
 ]

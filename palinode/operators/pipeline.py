@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palinode.functions import tables as T
 from palinode.functions.config import BASE_CONFIDENCE, Config
-from palinode.functions.expressions import no_hits
 from palinode.operators import arrow, native
+from palinode.operators.fused import Scanner
 
 DETECTION = "struct<kind:string,original:string,normalized:string,detail:string,confidence:float>"
 
+#: What the Arrow stage of all passes gives.
+SCANNED = f"struct<text:string,found:array<{DETECTION}>,mixed:float,leet:float,halted:boolean>"
+
 #: The passes in the order in which they run, each with its function; those that take the session need a table made with it.
 ORDER: tuple[tuple[str, Callable[..., Column], bool], ...] = (
     ("pre-scan-nfc", arrow.pre_scan_nfc, False),
@@ -53,14 +57,6 @@ def confidence(kind: str, original: Column, normalized: Column) -> Column:
     return F.least(F.lit(BASE_CONFIDENCE[kind]).cast("float") + change * F.lit(0.20).cast("float"), F.lit(1.0).cast("float")).cast("float")
 
 
-def _detections(kind: str, hits: Column) -> Column:
-    def one(h: Column) -> Column:
-        c = confidence(kind, h["original"], h["normalized"])
-        return F.struct(F.lit(kind).alias("kind"), h["original"].alias("original"), h["normalized"].alias("normalized"), h["detail"].alias("detail"), c.alias("confidence"))
-
-    return F.transform(hits, one).cast(f"array<{DETECTION}>")
-
-
 class Normalizer:
     """Chooses passes and thresholds; the set of passes decides the plan, their order never changes.
 
@@ -93,34 +89,25 @@ class Normalizer:
     def analyze(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with ``normalized``, ``detections``, ``halted``, ``score``, ``should_flag``, ``should_block``; null texts give null.
 
-        Each pass is one projection of its own. A condition that always holds but isn't deterministic keeps the optimizer from merging
-        the projections, which would repeat each pass wherever the next names its text. Existing columns of these names are replaced. Works on streams: nothing crosses rows.
+        All passes run in one Arrow stage. What it gives passes through a generator of one row, so that filters on the results do not run the
+        stage a second time, while those on other columns reach the scan. Existing columns of these names are replaced. Works on
+        streams: nothing crosses rows.
         """
         spark, cfg = df.sparkSession, self.config
-        single = F.lit(0.0).cast("float")
-        nothing = F.array().cast(f"array<{DETECTION}>")
-        out = df.withColumns({"__text": F.col(text), "__found": nothing, "__mixed": single, "__leet": single, "__halted": F.lit(False)})
-        for kind, _, _ in ORDER:
-            on = kind in self.kinds or kind == "homoglyph" and "script-intrusion" in self.kinds
-            if not on:
-                continue
-            out = out.withColumn("__now", F.when(F.spark_partition_id() >= 0, run_pass(kind, F.col("__text"), cfg, spark)))
-            found = _detections(kind, F.coalesce(F.col("__now.hits"), no_hits()))
-            if kind == "script-intrusion":
-                # only where the look-alikes before it replaced nothing
-                found = F.when(F.exists("__found", lambda d: d["kind"] == "homoglyph"), nothing).otherwise(found)
-            step = {"__text": F.col("__now.text"), "__found": F.concat("__found", found)}
-            if kind in ("homoglyph", "leetspeak"):
-                step["__mixed" if kind == "homoglyph" else "__leet"] = F.coalesce(F.col("__now.ratio"), single)
-            if kind == "cjk-superposition":
-                step["__halted"] = F.size("__now.hits") > 0
-            out = out.withColumns(step).drop("__now")
-        there = F.col(text).isNotNull()
-        score = F.when(F.col("__halted"), F.lit(1.0).cast("float")).otherwise(compute_score(F.col("__found"), F.col("__mixed"), F.col("__leet"), cfg))
-        out = out.withColumns(
-            {"normalized": F.col("__text"), "detections": F.when(there, F.col("__found")), "halted": F.when(there, F.col("__halted")), "score": F.when(there, score)}
-        ).drop("__text", "__found", "__mixed", "__leet", "__halted")
-        return out.withColumns({"should_flag": decision_at(F.col("score"), cfg.flag_threshold), "should_block": decision_at(F.col("score"), cfg.block_threshold)})
+        scanner = Scanner(self.kinds, cfg, T.homoglyphs(spark), T.skeletons(spark))
+
+        @F.pandas_udf(SCANNED)
+        def scan(texts: pd.Series) -> pd.DataFrame:
+            nothing = dict.fromkeys(("text", "found", "mixed", "leet", "halted"))
+            return pd.DataFrame([scanner.scan(t) if isinstance(t, str) else nothing for t in texts], columns=list(nothing))
+
+        out = df.select("*", scan(F.col(text)).alias("__scanned")).select(*df.columns, F.explode(F.array("__scanned")).alias("__scanned"))
+        got = F.col("__scanned")
+        score = F.when(got["halted"], F.lit(1.0).cast("float")).otherwise(compute_score(got["found"], got["mixed"], got["leet"], cfg))
+        out = out.withColumns({"normalized": got["text"], "detections": got["found"], "halted": got["halted"], "score": F.when(got["halted"].isNotNull(), score)})
+        return out.drop("__scanned").withColumns(
+            {"should_flag": decision_at(F.col("score"), cfg.flag_threshold), "should_block": decision_at(F.col("score"), cfg.block_threshold)}
+        )
 
 
 def compute_score(found: Column, mixed: Column, leet: Column, cfg: Config) -> Column:
@@ -162,3 +149,14 @@ def evaluate_corpus(analyzed: DataFrame, category: str = "category") -> DataFram
     return analyzed.groupBy(category).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("should_flag").alias("flagged"), F.count_if("should_block").alias("blocked")
     )
+
+
+def rates(analyzed: DataFrame, category: str = "category") -> DataFrame:
+    """``evaluate_corpus`` with ``flag_rate`` and ``block_rate``."""
+    share = lambda c: F.round(F.col(c) / F.col("n"), 6)
+    return evaluate_corpus(analyzed, category).withColumns({"flag_rate": share("flagged"), "block_rate": share("blocked")})
+
+
+def missed(analyzed: DataFrame, decision: str = "should_flag", wanted: bool = True) -> DataFrame:
+    """The rows whose ``decision`` is not the ``wanted`` one: of attacks those that passed, of harmless texts (``wanted`` false) the false alarms."""
+    return analyzed.where(F.col(decision) != F.lit(wanted))

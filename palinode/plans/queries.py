@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palinode.functions.config import Config
 from palinode.operators import audit, native
-from palinode.operators.pipeline import Normalizer, evaluate_corpus, explode_detections, run_pass
+from palinode.operators.pipeline import Normalizer, evaluate_corpus, explode_detections, missed, rates, run_pass
 from palinode.plans.api import analyze_text
 from palinode.sources.shared import spread, table
 
@@ -77,8 +77,14 @@ def corpus_rates(spark: SparkSession, d: str) -> DataFrame:
     """Overall rates of both corpora; flagged harmless samples are false positives."""
     both = table(spark, d, "adversarial").select(F.lit("adversarial").alias("corpus"), "text")
     both = both.unionByName(table(spark, d, "benign").select(F.lit("benign").alias("corpus"), "text"))
-    counts = evaluate_corpus(Normalizer().analyze(spread(both)), "corpus")
-    return counts.select("*", F.round(F.col("flagged") / F.col("n"), 6).alias("flag_rate"), F.round(F.col("blocked") / F.col("n"), 6).alias("block_rate"))
+    return rates(Normalizer().analyze(spread(both)), "corpus")
+
+
+def corpus_missed(spark: SparkSession, d: str) -> DataFrame:
+    """Attacks that were not flagged and harmless samples that were, with score and text."""
+    sides = (("adversarial", True), ("benign", False))
+    each = [missed(Normalizer().analyze(spread(table(spark, d, t))), "should_flag", w).withColumn("corpus", F.lit(t)) for t, w in sides]
+    return each[0].unionByName(each[1], allowMissingColumns=True).select("corpus", "sample_id", "category", _rounded(F.col("score")).alias("score"), "text")
 
 
 def audit_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +131,7 @@ def documents_scan(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
     own = (
-        script_interference, score_decision, benign_decision, detection_explode, confidence, corpus_eval, corpus_rates, audit_hash, audit_record,
+        script_interference, score_decision, benign_decision, detection_explode, confidence, corpus_eval, corpus_rates, corpus_missed, audit_hash, audit_record,
         audit_sign_verify, audit_chain, documents_scan,
     )
     return {n: partial(_pass_query, kind) for n, kind in PASS_QUERIES.items()} | {f.__name__: f for f in own}

@@ -166,12 +166,12 @@ def test_punycode_labels():
 def test_tables(spark):
     look = T.homoglyphs(spark)
     assert len(T.KEYWORDS) == 30 and len(T.BIGRAMS) == 128 == len(set(T.BIGRAMS)) and len(T.LEET) == 14 and len(T.PASSES) == 19
-    assert all(not k.isascii() and v.isascii() and len(v) == 1 for k, v in look.items()) and 1500 < len(look) < 1800
+    assert all(not k.isascii() and v.isascii() and len(v) == 1 for k, v in look.items()) and len(look) == 1631
     assert {k: look[k] for k in "аο١Ⓐ①’"} == {"а": "a", "ο": "o", "١": "1", "Ⓐ": "A", "①": "1", "’": "'"}
     assert "Ａ" not in look and T.skeletons(spark)["m"] == "rn"
 
 
-def test_plan_stays_linear(spark):
+def test_plan_stays_small(spark):
     df = spark.createDataFrame([("x",)], "text string")
     plan = Normalizer().analyze(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Project") < 60 and len(plan) < 250_000
+    assert plan.count("Project") < 8 and len(plan) < 50_000
