@@ -29,7 +29,7 @@ def truncated(detail: Column) -> Column:
 def iso_utc(seconds: Column) -> Column:
     """``YYYY-MM-DDTHH:MM:SSZ`` of seconds since 1970, whatever the zone of the session."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
-    part = lambda unit, size: F.lpad((F.floor(seconds / unit) % size).cast("string"), 2, "0")
+    part = lambda unit, size: F.lpad(F.pmod(F.floor(seconds / unit), F.lit(size)).cast("string"), 2, "0")
     clock = F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60))
     return F.concat(day.cast("string"), F.lit("T"), clock, F.lit("Z"))
 
@@ -95,31 +95,47 @@ def verify(df: DataFrame, key: bytes, to: str = "verified") -> DataFrame:
     return df.withColumn(to, F.coalesce(well_formed & (F.lower("signature") == hmac_sha256(_message(), key)), F.lit(False)))
 
 
+def pretty(line: Column) -> Column:
+    """A line of JSON with two blanks of indentation for each level, for people."""
+
+    @F.pandas_udf("string")
+    def indented(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: None if x is None else json.dumps(json.loads(x), indent=2, ensure_ascii=False))
+
+    return indented(line)
+
+
+def _head() -> Column:
+    """The record as text without its last two fields."""
+    return F.to_json(F.struct(*[f for f in FIELDS if f not in ("prev_hmac", "signature")]), {"ignoreNullFields": "false"})
+
+
 def chain(df: DataFrame, key: bytes, by: str, order: str) -> DataFrame:
-    """Records signed one after the other within ``by`` along ``order``, each with the signature before it as ``prev_hmac``.
+    """``by``, ``order`` and the fields of records signed one after the other within ``by`` along ``order``, each with the signature before it as ``prev_hmac``.
 
-    A chain is sequential by nature, so one task walks it; it does so in sorted batches, never holding a chain in memory. All else,
-    the text that is signed included, is made before by built-in expressions.
+    A chain is sequential by nature, so one task walks it; it does so in sorted batches, never holding a chain in memory. Only the
+    text that is signed goes through it, made before and taken apart after by built-in expressions. Other columns are left out.
     """
-    head = F.to_json(F.struct(*[f for f in FIELDS if f not in ("prev_hmac", "signature")]), {"ignoreNullFields": "false"})
-    names = [f.name for f in df.schema.fields if f.name not in ("prev_hmac", "signature")]
-    sorted_ = df.select(*names, head.alias("__head")).repartition(by).sortWithinPartitions(by, order)
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in sorted_.drop('__head').dtypes)}, prev_hmac string, signature string"
+    sorted_ = df.select(by, order, _head().alias("head")).repartition(by).sortWithinPartitions(by, order)
+    kinds = dict(df.dtypes)
+    schema = f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, head string, prev_hmac string, signature string"
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = object(), None
         for pdf in frames:
             before, signed = [], []
-            for group, text in zip(pdf[by], pdf["__head"], strict=True):
+            for group, text in zip(pdf[by], pdf["head"], strict=True):
                 if group != current:
                     current, last = group, None
                 before.append(last)
                 message = f'{text[:-1]},"prev_hmac":{json.dumps(last)},"signature":null}}'
                 last = hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
                 signed.append(last)
-            yield pdf.drop(columns="__head").assign(prev_hmac=before, signature=signed)
+            yield pdf.assign(prev_hmac=before, signature=signed)
 
-    return sorted_.mapInPandas(walk, schema)
+    fields = [f for f in FIELDS if f not in ("prev_hmac", "signature")]
+    record = F.from_json("head", ", ".join(f"{f} {kinds[f]}" for f in fields))
+    return sorted_.mapInPandas(walk, schema).select(by, order, *[record[f].alias(f) for f in fields], "prev_hmac", "signature")
 
 
 def check_links(df: DataFrame, by: str, order: str, to: str = "linked") -> DataFrame:

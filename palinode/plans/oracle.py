@@ -1,14 +1,41 @@
 """What the queries must give, as SQL for another engine, written from the semantics of each pass.
 
-Passes without an entry (look-alike tables, strict base64, punycode, Morse, runs of backslashes) are tested on fixtures.
+Passes without an entry (look-alike tables, punycode, Morse) are tested on fixtures, and so are queries of the pipeline that need them.
 """
 
 from __future__ import annotations
 
-from palinode.functions import tables as T
+import hashlib
 
-_K = "[" + ", ".join(f"'{k}'" for k in T.KEYWORDS) + "]"
-_LETTER_K = "[" + ", ".join(f"'{k}'" for k in T.KEYWORDS if k.isalpha()) + "]"
+# Fixed values, written out here so that a wrong entry of the engine shows
+_KEYWORDS = (
+    "ignore", "disregard", "bypass", "system prompt", "instruction", "pwned", "whoami", "exec", "eval", "import", "os.system", "child_process", "shell", "bash",
+    "powershell", "system", "prompt", "override", "jailbreak", "forget", "reset", "sudo", "admin", "root", "chmod", "curl", "wget", "python", "javascript", "script",
+)
+_BIGRAMS = (
+    "TH", "HE", "IN", "ER", "AN", "RE", "ON", "EN", "AT", "ES", "ED", "IS", "IT", "AL", "AR", "ST", "TO", "NT", "NG", "SE", "HA", "AS", "OU", "IO", "LE", "VE",
+    "CO", "ME", "DE", "HI", "ND", "TI", "OR", "TE", "OF", "RI", "RO", "IC", "NE", "EA", "RA", "CE", "LI", "CH", "LL", "BE", "MA", "SI", "OM", "UR", "CA", "EL",
+    "TA", "LA", "NS", "DI", "FO", "HO", "PE", "EC", "PR", "NO", "CT", "US", "AC", "OT", "IL", "TR", "LY", "NC", "ET", "UT", "SS", "SO", "RS", "UN", "LO", "WA",
+    "GE", "IE", "WH", "EE", "WI", "EM", "AD", "OL", "RT", "PO", "WE", "NA", "UL", "NI", "TS", "MO", "OW", "PA", "IM", "MI", "AI", "SH", "IR", "SU", "ID", "OS",
+    "IV", "IA", "AM", "FI", "CI", "VI", "PL", "IG", "TU", "EV", "LD", "RY", "MP", "FE", "BL", "DA", "AY", "GH", "TY", "UP", "QU", "SC", "KE", "EX",
+)
+_LEET_FROM, _LEET_TO = "013456789@!$+|", "oieasgtbgaistl"
+_INVISIBLE = r"[\x{FE00}-\x{FE0F}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
+_BIDI = r"[\x{202A}-\x{202E}\x{200B}-\x{200F}\x{FEFF}\x{2060}]"
+_WEIGHTS = {
+    "pre-scan-nfc": 0.35, "invisible-strip": 0.75, "cjk-superposition": 1.0, "bidi-control": 0.90, "fullwidth-chars": 0.65, "backslash-escape": 0.80,
+    "unicode-escape": 0.80, "punycode": 0.85, "rot13": 0.80, "url-encoding": 0.80, "html-entities": 0.80, "base64": 0.85, "morse-code": 0.80, "homoglyph": 0.55,
+    "script-intrusion": 0.40, "leetspeak": 0.30, "entropy-bigram": 0.50, "split-string": 0.70, "skeleton-match": 0.75,
+}
+_BASES = {
+    "pre-scan-nfc": 0.30, "invisible-strip": 0.90, "cjk-superposition": 1.0, "bidi-control": 0.90, "fullwidth-chars": 0.80, "backslash-escape": 0.90,
+    "unicode-escape": 0.90, "punycode": 1.0, "rot13": 1.0, "url-encoding": 1.0, "html-entities": 1.0, "base64": 1.0, "morse-code": 1.0, "homoglyph": 0.80,
+    "script-intrusion": 0.65, "leetspeak": 0.55, "entropy-bigram": 0.50, "split-string": 0.65, "skeleton-match": 0.80,
+}
+_KEY = b"a key of the tests"
+
+_K = "[" + ", ".join(f"'{k}'" for k in _KEYWORDS) + "]"
+_LETTER_K = "[" + ", ".join(f"'{k}'" for k in _KEYWORDS if k.isalpha()) + "]"
 _ANY = f"len(list_filter({_K}, lambda k: contains({{0}}, k))) > 0"
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _HEXLIKE = r"(regexp_matches({0}, '[0-9]') and regexp_full_match({0}, '[0-9A-Fa-f-]+'))"
@@ -68,7 +95,6 @@ _UNICODE = rf"""
     g as (select *, coalesce((n >= 1 and {_ANY.format("lower(new)")}) or n >= 4, false) as fired from f)
     select sample_id, cast(case when fired then 1 else 0 end as bigint) as n_hits, fired, case when fired then new else text end as normalized from g"""
 
-_LEET_FROM, _LEET_TO = "".join(T.LEET), "".join(T.LEET.values())
 _LEET_WORD = rf"""not {_HEXLIKE.format("w")} and len(regexp_extract_all(w, '[\p{{L}}\p{{N}}]')) >= 4 and len(regexp_extract_all(w, '[A-Za-z]')) >= 2
     and len(regexp_extract_all(w, '[013456789@!$+|]')) * 100 // greatest(len(regexp_extract_all(w, '[\p{{L}}\p{{N}}]')), 1) >= 35"""
 _LEET = rf"""
@@ -83,7 +109,7 @@ _INTRUSION = rf"""case when len(list_filter(regexp_extract_all(text, '{_WS.repla
 _SPLIT = f"""case when octet_length(encode(text)) < 8 then 0 else len(list_filter({_LETTER_K},
     lambda k: contains(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), k) and not contains(lower(text), k))) end"""
 
-_PAIRS = "[" + ", ".join(f"'{b}'" for b in T.BIGRAMS) + "]"
+_PAIRS = "[" + ", ".join(f"'{b}'" for b in _BIGRAMS) + "]"
 _CJK = (
     r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{3040}-\x{30FF}\x{3000}-\x{303F}\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}"
     r"\x{FF65}-\x{FF9F}\x{FFA0}-\x{FFBE}]"
@@ -120,22 +146,151 @@ _INTERFERENCE = f"""
         round(cast(cast(len(list_filter(list_zip(zs, list_reverse(zs)), lambda x: x[1] <> x[2])) as float) / cast(len(zs) as float) as double), 4) end as interference from z"""
 
 
+# runs of a character with a backslash each: two or more, or one before a backslash that escapes the end of a line
+_UNIT = r"\\[\x00-\x09\x0b\x0c\x0e-\x7f]"
+_IN_RUN = rf"(regexp_full_match(x, '(?s)({_UNIT})+') and length(x) >= 4)"
+_BEFORE_END = rf"regexp_full_match(x, '(?s){_UNIT}\\[\r\n]')"
+_BACKSLASH = rf"""
+    with b as (select sample_id, text, regexp_extract_all(text, '(?s)(?:{_UNIT}){{2,}}|{_UNIT}\\[\r\n]|[^\\]+|\\') as xs from adversarial),
+    f as (select sample_id, text,
+                 array_to_string(list_transform(xs, lambda x: case when {_IN_RUN} then regexp_replace(x, '(?s)\\(.)', '\1', 'g') when {_BEFORE_END} then substr(x, 2) else x end), '') as new,
+                 coalesce(list_sum(list_transform(xs, lambda x: case when {_IN_RUN} then length(x) // 2 when {_BEFORE_END} then 1 else 0 end)), 0) as n from b)
+    select sample_id, cast(case when n >= 3 then 1 else 0 end as bigint) as n_hits, n >= 3 as fired, case when n >= 3 then new else text end as normalized from f"""
+
+# a call with a payload between quotes; what it decodes to takes the place of all but its closing bracket
+_CALL = r"(?:b64\.decode|base64\.decode|atob|b64decode|base64decode)\("
+_TRIMMED = r"regexp_replace(w, '^[^\p{L}\p{N}+/=]+|[^\p{L}\p{N}+/=]+$', '', 'g')"
+
+
+def _strict(p: str) -> str:
+    """What strict base64 of printable signs, with or without padding, stands for; else null."""
+    bare = f"regexp_replace({p}, '=+$', '')"
+    padded = f"({bare} || repeat('=', (4 - length({bare}) % 4) % 4))"
+    right = f"regexp_full_match({p}, '[A-Za-z0-9+/=]*') and length({bare}) % 4 <> 1 and to_base64(try(from_base64({padded}))) = {padded}"
+    shown = f"try(decode(from_base64({padded})))"
+    return f"case when {right} then case when regexp_full_match({shown}, '[\\x20-\\x7e\\n]*') then {shown} end end"
+
+
+_QUOTED = f"regexp_extract(x, '^{_CALL}\"([^\"]*)\"', 1)"
+_BASE64 = rf"""
+    with c as (select sample_id, text, list_transform(regexp_extract_all(text, '{_CALL}"[^"]*"|[^ab]+|.'), lambda x: {{'x': x, 'raw': case when regexp_matches(x, '^{_CALL}"') then {_strict(_QUOTED)} end}}) as xs
+               from adversarial where text is not null),
+    d as (select sample_id, array_to_string(list_transform(xs, lambda y: coalesce(y.raw, y.x)), '') as text, len(list_filter(xs, lambda y: y.raw is not null)) as calls from c),
+    b as (select sample_id, calls, unnest(regexp_extract_all(text, '{_WS}+|{_WS.replace("[", "[^", 1)}+')) as w, generate_subscripts(regexp_extract_all(text, '{_WS}+|{_WS.replace("[", "[^", 1)}+'), 1) as i from d),
+    p as (select *, {_TRIMMED} as p from b), s as (select *, case when octet_length(encode(p)) >= 12 then {_strict("p")} end as raw from p),
+    k as (select *, case when length(raw) >= 8 and {_ANY.format("lower(raw)")} then raw end as shown from s),
+    f as (select sample_id, any_value(calls) + count(shown) as n, string_agg(case when shown is null then w else replace(w, p, shown) end, '' order by i) as new from k group by 1)
+    select a.sample_id, coalesce(n, 0) as n_hits, coalesce(n, 0) > 0 as fired, case when n > 0 then new else text end as normalized from adversarial a left join f using (sample_id)"""
+
+
+def _chained(steps: list[tuple[str, str]]) -> str:
+    """Passes one after the other, each on what the one before left."""
+    parts = ["s0 as (select sample_id, text from adversarial)"]
+    for k, (_, sql) in enumerate(steps):
+        parts.append(f"p{k} as materialized ({sql.replace('adversarial', f's{k}')})")
+        parts.append(f"s{k + 1} as (select sample_id, normalized as text from p{k})")
+    last = len(steps) - 1
+    total = " + ".join(f"{_WEIGHTS[kind]} * p{k}.n_hits" for k, (kind, _) in enumerate(steps))
+    halted = " or ".join(f"p{k}.fired" for k, (kind, _) in enumerate(steps) if kind == "cjk-superposition")
+    kinds = "concat_ws(', ', " + ", ".join(f"case when p{k}.fired then '{kind}' end" for k, (kind, _) in enumerate(steps)) + ")"
+    joins = " ".join(f"join p{k} using (sample_id)" for k in range(len(steps)))
+    return f"""with {", ".join(parts)},
+        j as (select a.sample_id, a.text, p{last}.normalized as left_over, {halted} as halt, {total} as total, {kinds} as kinds from adversarial a {joins}),
+        r as (select *, case when text is not null then case when halt then 1.0 else least(1.0, round(cast(total as double), 4)) end end as score from j)
+        select sample_id, left_over as normalized, cast(score as double) as score, score >= 0.25 as should_flag, score >= 0.6 as should_block,
+               case when text is not null then halt end as halted, case when score >= 0.6 then 'BLOCK' when score >= 0.25 then 'FLAG' when score is not null then 'pass' end as label,
+               case when text is null then null when kinds = '' then 'clean' else printf('score=%.2f  detections=[%s]', score, kinds) end as summary,
+               case when text is not null then kinds end as kinds from r"""
+
+
+_CASES = "case kind " + " ".join(f"when '{k}' then {w}" for k, w in _WEIGHTS.items()) + " else 0 end"
+_SCORED = f"""
+    with f as (select sample_id, kind, min(ord) as o, sum({_CASES}) as w, min((ord, detection_id)) as place from detection where kind is not null group by 1, 2),
+    g as (select sample_id, least(1.0, round(cast(sum(w) as double), 4)) as score, string_agg(kind, ', ' order by place) as kinds from f group by 1)
+    select sample_id, cast(score as double) as score, score >= 0.25 as should_flag, score >= 0.6 as should_block,
+           case when score >= 0.6 then 'BLOCK' when score >= 0.25 then 'FLAG' else 'pass' end as label, printf('score=%.2f  detections=[%s]', score, kinds) as summary from g"""
+_CONFIDENCE = f"""
+    select detection_id, round(least(1.0, cast(case kind {" ".join(f"when '{k}' then {w}" for k, w in _BASES.items())} end as double)
+        + case when length(original) > 0 then 0.2 * least(1.0, abs(length(original) - length(normalized)) * 1.0 / length(original)) else 0 end), 4) as confidence
+    from detection where kind in ({", ".join(f"'{k}'" for k in _BASES)})"""
+_RESULTS = """(select r.*, lower(trim(category, ' ')) as category, score >= flag_threshold as f, score >= block_threshold as b
+    from normalization_result r left join adversarial using (sample_id))"""
+
+
+def _js(x: str) -> str:
+    return f"coalesce(cast(to_json({x}) as varchar), 'null')"
+
+
+def _number(x: str) -> str:
+    return f"case when {x} is null then 'null' when isnan({x}) then '\"NaN\"' else cast({x} as varchar) end"
+
+
+_DETECTION = f"""'{{{{"pass":' || {_js("x.pass")} || ',"original_len":' || {_js("x.original_len")} || ',"normalized_len":' || {_js("x.normalized_len")}
+    || ',"detail":' || {_js("x.detail")} || ',"confidence":' || {_number("x.confidence")} || '}}}}'""".replace("{{", "{").replace("}}", "}")
+_HEAD = f"""'{{"input_hash":' || {_js("input_hash")} || ',"input_len":' || {_js("input_len")} || ',"timestamp":' || {_js('"timestamp"')} || ',"obfuscation_score":' || {_number("obfuscation_score")}
+    || ',"halted":' || {_js("halted")} || ',"blocked":' || {_js("blocked")}
+    || ',"passes_fired":' || case when passes_fired is null then 'null' else '[' || array_to_string(list_transform(passes_fired, lambda x: {_js("x")}), ',') || ']' end
+    || ',"detections":' || case when detections is null then 'null' else '[' || array_to_string(list_transform(detections, lambda x: {_DETECTION}), ',') || ']' end"""
+
+
+def _hmac(message: str, key: bytes = _KEY) -> str:
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = ("".join(f"\\x{b ^ pad:02X}" for b in key) for pad in (0x36, 0x5C))
+    return f"sha256('{outer}'::blob || unhex(sha256('{inner}'::blob || encode({message}))))"
+
+
+_MESSAGE = f"""{_HEAD} || ',"prev_hmac":' || {_js("prev_hmac")} || ',"signature":null}}'"""
+_SIGNED = f"""
+    with h as (select record_id, {_HEAD} || ',"prev_hmac":' || {_js("prev_hmac")} || ',"signature":' as head from audit_record)
+    select record_id, head || '"' || {_hmac("head || 'null}'")} || '"}}' as line from h"""
+_CHAIN = f"""
+    with recursive r as (select app_id, record_id, {_HEAD} as head, row_number() over (partition by app_id order by record_id) as n from audit_record),
+    c as (select app_id, record_id, n, cast(null as varchar) as prev_hmac, {_hmac("""head || ',"prev_hmac":null,"signature":null}'""")} as signature from r where n = 1
+          union all
+          select r.app_id, r.record_id, r.n, c.signature, {_hmac("""r.head || ',"prev_hmac":"' || c.signature || '","signature":null}'""")}
+          from c join r on r.app_id is not distinct from c.app_id and r.n = c.n + 1)
+    select record_id, prev_hmac, signature from c"""
+
+
+def _passes() -> dict[str, tuple[str, str]]:
+    """Query, pass and SQL of the passes that SQL can state."""
+    return {
+        "nfc_fold": ("pre-scan-nfc", _whole("nfc_normalize(text)", "new <> text")),
+        "invisible_strip": ("invisible-strip", _removed(_INVISIBLE)),
+        "cjk_halt": ("cjk-superposition", _CJK_HALT),
+        "bidi_strip": ("bidi-control", _removed(_BIDI)),
+        "fullwidth_fold": ("fullwidth-chars", _whole(f"translate(text, '{_FULL}', '{_PLAIN}')", "new <> text")),
+        "backslash_unescape": ("backslash-escape", _BACKSLASH),
+        "unicode_unescape": ("unicode-escape", _UNICODE),
+        "rot13_decode": ("rot13", _whole(_ROT, f"len(list_filter({_K}, lambda k: contains(lower(new), k) and not contains(lower(text), k))) > 0")),
+        "url_decode": ("url-encoding", _URL),
+        "html_decode": ("html-entities", _HTML),
+        "base64_decode": ("base64", _BASE64),
+        "entropy_bigram": ("entropy-bigram", _ENTROPY),
+        "split_keyword": ("split-string", _stay(_SPLIT)),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query."""
+    passes = _passes()
     return {
-        "nfc_fold": _whole("nfc_normalize(text)", "new <> text"),
-        "invisible_strip": _removed(T.INVISIBLE),
-        "bidi_strip": _removed(T.BIDI),
-        "fullwidth_fold": _whole(f"translate(text, '{_FULL}', '{_PLAIN}')", "new <> text"),
-        "cjk_halt": _CJK_HALT,
-        "unicode_unescape": _UNICODE,
-        "rot13_decode": _whole(_ROT, f"len(list_filter({_K}, lambda k: contains(lower(new), k) and not contains(lower(text), k))) > 0"),
-        "url_decode": _URL,
-        "html_decode": _HTML,
+        **{name: sql for name, (_, sql) in passes.items()},
         "leet_fold": _LEET,
         "script_intrusion": _stay(_INTRUSION),
-        "entropy_bigram": _ENTROPY,
-        "split_keyword": _stay(_SPLIT),
         "script_interference": _INTERFERENCE,
+        "plain_decision": _chained(list(passes.values())),
+        "detections_scored": _SCORED,
+        "detection_confidence": _CONFIDENCE,
+        "detail_truncated": """select detection_id, case when octet_length(encode(original)) <= 200 then original
+            else left(original, list_max(list_filter(range(50, 201), lambda n: octet_length(encode(left(original, n))) <= 200))) || '...' end as detail from detection""",
+        "results_rates": f"""select category, n, flagged, blocked, round(flagged / n, 6) as flag_rate, round(blocked / n, 6) as block_rate
+            from (select category, count(*) as n, count(*) filter (f) as flagged, count(*) filter (b) as blocked from {_RESULTS} group by 1)""",
+        "results_missed": f"select result_id, category, round(cast(score as double), 4) as score, normalized from {_RESULTS} where not b",
+        "log_times": "select record_id, strftime(make_timestamp((record_id * 86413 - 100000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as at from audit_record",
+        "log_signed": _SIGNED,
+        "log_verified": "select record_id, record_id % 3 <> 0 and record_id % 5 <> 0 as verified from audit_record",
+        "log_chain": _CHAIN,
+        "log_links": """select record_id, prev_hmac is not distinct from lag(signature) over (partition by app_id order by record_id) as linked from audit_record""",
         "audit_hash": "select doc_id, sha256(text) as input_hash, length(text) as input_len from documents",
     }

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palinode.functions.config import Config
+from palinode.functions.config import BASE_CONFIDENCE, Config
 from palinode.operators import audit, native
-from palinode.operators.pipeline import Normalizer, evaluate_corpus, explode_detections, missed, rates, run_pass
+from palinode.operators.pipeline import (
+    Normalizer, compute_score, decision_at, detection_kinds, evaluate_corpus, explode_detections, label, missed, rates, run_pass, summary,
+)
+from palinode.operators.pipeline import confidence as confidence_of
 from palinode.plans.api import analyze_text
 from palinode.sources.shared import spread, table
 
@@ -87,6 +90,91 @@ def corpus_missed(spark: SparkSession, d: str) -> DataFrame:
     return each[0].unionByName(each[1], allowMissingColumns=True).select("corpus", "sample_id", "category", _rounded(F.col("score")).alias("score"), "text")
 
 
+#: The passes of ``plain_decision``: those that need no table of look-alikes and no decoder of codes.
+PLAIN = (
+    "pre-scan-nfc", "invisible-strip", "cjk-superposition", "bidi-control", "fullwidth-chars", "backslash-escape", "unicode-escape", "rot13",
+    "url-encoding", "html-entities", "base64", "entropy-bigram", "split-string",
+)
+
+
+def plain_decision(spark: SparkSession, d: str) -> DataFrame:
+    """What thirteen passes one after the other leave of every sample, and their decision."""
+    out = Normalizer(PLAIN).analyze(spread(table(spark, d, "adversarial")))
+    kinds = F.array_join(detection_kinds(F.col("detections")), ", ")
+    return out.select("sample_id", "normalized", _rounded(F.col("score")).alias("score"), "should_flag", "should_block", "halted", label(F.col("score"), Config()).alias("label"),
+                      summary(F.col("score"), F.col("detections")).alias("summary"), kinds.alias("kinds"))
+
+
+def detections_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Score, decision and summary of the detections of each sample in the table."""
+    rows = table(spark, d, "detection").where("kind is not null")
+    # a sample has a few detections
+    of = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("ord", "detection_id", "kind", "original", "normalized", "detail", "confidence"))).alias("found"))
+    zero, cfg = F.lit(0.0).cast("float"), Config()
+    out = of.withColumn("score", compute_score(F.col("found"), zero, zero, cfg))
+    return out.select(
+        "sample_id", _rounded(F.col("score")).alias("score"), decision_at(F.col("score"), cfg.flag_threshold).alias("should_flag"),
+        decision_at(F.col("score"), cfg.block_threshold).alias("should_block"), label(F.col("score"), cfg).alias("label"), summary(F.col("score"), F.col("found")).alias("summary"),
+    )
+
+
+def detection_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The confidence of every detection in the table by its kind and the change of its text."""
+    rows = table(spark, d, "detection").where(F.col("kind").isin(*BASE_CONFIDENCE))
+    value = reduce(lambda a, k: F.when(F.col("kind") == k, confidence_of(k, F.col("original"), F.col("normalized"))).otherwise(a), BASE_CONFIDENCE, F.lit(None).cast("float"))
+    return rows.select("detection_id", _rounded(value).alias("confidence"))
+
+
+def detail_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of detections cut as details are."""
+    return table(spark, d, "detection").select("detection_id", audit.truncated(F.col("original")).alias("detail"))
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """The results in the table with their decisions and the category of their sample."""
+    samples = table(spark, d, "adversarial").select("sample_id", F.lower(F.trim("category")).alias("category"))
+    flags = {"should_flag": F.col("score") >= F.col("flag_threshold"), "should_block": F.col("score") >= F.col("block_threshold")}
+    return table(spark, d, "normalization_result").withColumns(flags).join(samples, "sample_id", "left")
+
+
+def results_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of the results in the table by category."""
+    return rates(_results(spark, d))
+
+
+def results_missed(spark: SparkSession, d: str) -> DataFrame:
+    """Results in the table that were not blocked."""
+    return missed(_results(spark, d), "should_block").select("result_id", "category", _rounded(F.col("score")).alias("score"), "normalized")
+
+
+def log_times(spark: SparkSession, d: str) -> DataFrame:
+    """Instants as the log writes them."""
+    return table(spark, d, "audit_record").select("record_id", audit.iso_utc(F.col("record_id") * 86_413 - 100_000_000).alias("at"))
+
+
+def log_signed(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of the log as a line, signed."""
+    return audit.sign(table(spark, d, "audit_record"), KEY).select("record_id", audit.to_line().alias("line"))
+
+
+def log_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Records signed anew, every third with a wrong key and every fifth changed after, and whether each is found right."""
+    signed = audit.sign(table(spark, d, "audit_record"), KEY).withColumn("other", F.col("signature"))
+    other = audit.sign(signed, b"another key").withColumn("signature", F.when(F.col("record_id") % 3 == 0, F.col("signature")).otherwise(F.upper("other")))
+    changed = other.withColumn("input_len", F.when(F.col("record_id") % 5 == 0, F.coalesce(F.col("input_len") + 1, F.lit(0).cast("bigint"))).otherwise(F.col("input_len")))
+    return audit.verify(changed, KEY).select("record_id", "verified")
+
+
+def log_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The records of each app chained in the order of arrival."""
+    return audit.chain(table(spark, d, "audit_record"), KEY, "app_id", "record_id").select("record_id", "prev_hmac", "signature")
+
+
+def log_links(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each record of the log names the signature before it."""
+    return audit.check_links(table(spark, d, "audit_record"), "app_id", "record_id").select("record_id", "linked")
+
+
 def audit_hash(spark: SparkSession, d: str) -> DataFrame:
     """Hash and length of every document."""
     texts = table(spark, d, "documents")
@@ -132,6 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
     own = (
         script_interference, score_decision, benign_decision, detection_explode, confidence, corpus_eval, corpus_rates, corpus_missed, audit_hash, audit_record,
-        audit_sign_verify, audit_chain, documents_scan,
+        audit_sign_verify, audit_chain, documents_scan, plain_decision, detections_scored, detection_confidence, detail_truncated, results_rates, results_missed,
+        log_times, log_signed, log_verified, log_chain, log_links,
     )
     return {n: partial(_pass_query, kind) for n, kind in PASS_QUERIES.items()} | {f.__name__: f for f in own}

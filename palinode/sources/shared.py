@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,14 +28,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where the session names none, an own one (tests, local mode)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where the session names none an own one serves a local master; on a cluster,
+    where each executor would write to its own disk, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = tempfile.mkdtemp(prefix="palinode-")
-        spark.sparkContext.setCheckpointDir(_OWN[key])
     return _OWN[key]
 
 
@@ -46,10 +51,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def forget(spark: SparkSession) -> int:
+    """Remove the intermediate tables written so far and tell how many; results that were not read yet can't be read after."""
+    gone = len(_WRITTEN)
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())
+    return gone
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: the lineage is cut and the rows outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/palinode-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _WRITTEN:
+        atexit.register(forget, spark)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

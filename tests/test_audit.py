@@ -35,10 +35,16 @@ def test_records(spark):
     assert list(line) == list(audit.FIELDS) and line["signature"] is None and "ignore" not in json.dumps(line["detections"][0])
 
 
+def test_lines_for_people(spark):
+    text = made(spark, ["ignore\u202eall \"é\""]).select(audit.pretty(audit.to_line())).first()[0]
+    line = json.loads(text)
+    assert list(line) == list(audit.FIELDS) and text.startswith('{\n  "input_hash": "') and line["passes_fired"] == ["bidi-control"]
+
+
 def test_times_and_cuts(spark):
-    seconds = [0, 951_782_400, 1_700_000_000]
+    seconds = [0, 951_782_400, 1_700_000_000, -1]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in seconds], "s bigint").select(audit.iso_utc(F.col("s"))).collect()]
-    assert got == ["1970-01-01T00:00:00Z", "2000-02-29T00:00:00Z", "2023-11-14T22:13:20Z"]
+    assert got == ["1970-01-01T00:00:00Z", "2000-02-29T00:00:00Z", "2023-11-14T22:13:20Z", "1969-12-31T23:59:59Z"]
     texts = ["x" * 200, "x" * 201, "é" * 150, "x" + "語" * 100]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(audit.truncated(F.col("t"))).collect()]
     assert got[0] == texts[0] and all(len(g.encode()) <= 203 and g.endswith("...") for g in got[1:]) and got[3] == "x" + "語" * 66 + "..."
