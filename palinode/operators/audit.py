@@ -70,6 +70,11 @@ def to_line() -> Column:
     return F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
 
 
+def to_pretty() -> Column:
+    """A record as JSON over several lines, for people."""
+    return F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false", "pretty": "true"})
+
+
 def _message() -> Column:
     fields = [F.lit(None).cast("string").alias("signature") if f == "signature" else F.col(f) for f in FIELDS]
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
@@ -95,16 +100,6 @@ def verify(df: DataFrame, key: bytes, to: str = "verified") -> DataFrame:
     return df.withColumn(to, F.coalesce(well_formed & (F.lower("signature") == hmac_sha256(_message(), key)), F.lit(False)))
 
 
-def pretty(line: Column) -> Column:
-    """A line of JSON with two blanks of indentation for each level, for people."""
-
-    @F.pandas_udf("string")
-    def indented(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: None if x is None else json.dumps(json.loads(x), indent=2, ensure_ascii=False))
-
-    return indented(line)
-
-
 def _head() -> Column:
     """The record as text without its last two fields."""
     return F.to_json(F.struct(*[f for f in FIELDS if f not in ("prev_hmac", "signature")]), {"ignoreNullFields": "false"})

@@ -36,9 +36,9 @@ def test_records(spark):
 
 
 def test_lines_for_people(spark):
-    text = made(spark, ["ignore\u202eall \"é\""]).select(audit.pretty(audit.to_line())).first()[0]
+    text = made(spark, ["ignore\u202eall \"é\""]).select(audit.to_pretty()).first()[0]
     line = json.loads(text)
-    assert list(line) == list(audit.FIELDS) and text.startswith('{\n  "input_hash": "') and line["passes_fired"] == ["bidi-control"]
+    assert list(line) == list(audit.FIELDS) and text.startswith('{\n  "input_hash" : "') and line["passes_fired"] == ["bidi-control"]
 
 
 def test_times_and_cuts(spark):
