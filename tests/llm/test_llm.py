@@ -406,18 +406,19 @@ def test_the_filter_of_documents_never_misses(spark):
 FORMS = {
     "email": ["ann.lee@mail.example", "ANN+X@MAIL.CO.EXAMPLE", "ann at mail dot example", "ann [at] mail.example", "ann(at)mail(dot)test", "ann@​mail.example"],
     "phone": ["+1 883 555 0102", "(249) 555-0199", "893-555-0194", "+44 (0)1632 960792", "020 7946 0993", "+33 1 99 00 70 53", "030/23125308", "+16955550149"],
-    "id_number": ["919-74-6193", "979 59 6006", "2 71 25 97 695 265 53", "00 375 990 034", "QQ 38 84 86 B", "QQ325322A", "00031538M", "00023376-P"],
-    "street_address": ["13 Elmshaw Lane", "88B Kestrelshaw St.", "No. 127 Old Fullerthorpe Street", "140 ELMERTHORPE ROAD", "48 bis avenue de Birkenagate", "Elmacombeweg 138b", "Calle Doverershaw, 199"],
+    "id_number": ["919-74-6193", "979 59 6006", "2 71 25 97 695 265 53", "00 375 990 034", "QQ 38 84 86 B", "QQ325322A", "00031538M", "00023376-P", "112-233-445 95", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"],
+    "street_address": ["13 Elmshaw Lane", "88B Kestrelshaw St.", "No. 127 Old Fullerthorpe Street", "140 ELMERTHORPE ROAD", "48 bis avenue de Birkenagate", "Elmacombeweg 138b", "Calle Doverershaw, 199", "10250 Main Street", "ул. Ленина, д. 5", "Calle " + "A" + "b" * 60 + ", 12"],
 }
 NOT = ["Price 273.10 per blanket, item no. 791289", "Order reference 63-6683-95, shelf 34", "Build 2.20.378 answers on 192.0.2.219", "Coordinates 53.24540, 5.49130; height 834 m",
-       "Open 9:00-18:30, 11.8.2019 excepted", "Catalogue 565/849/19 lists 6953 items", "/static/broth@3x.png", "Follow @market for news, meets @ 9 pm.", "After 32 days it ended"]
+       "Open 9:00-18:30, 11.8.2019 excepted", "Catalogue 565/849/19 lists 6953 items", "/static/broth@3x.png", "Follow @market for news, meets @ 9 pm.", "After 32 days it ended",
+       "Ref 112-233-445 96", "Calle Mayor 28013 Madrid"]
 
 
 @pytest.mark.parametrize(("kind", "text"), [(k, t) for k, ts in FORMS.items() for t in ts])
 def test_fixed_forms_are_found_whole(kind, text):
     for frame in ("see {} now", "{}", "well: {}, and so on", "one\n{}\ntwo"):
         full = frame.format(text)
-        assert [(k, full[a:b]) for k, a, b in pii.fixed_forms(full)] == [(kind, text)]
+        assert [(k, full[a:b]) for k, a, b in pii.fixed_forms(full)] == [(kind, text)], full
 
 
 @pytest.mark.parametrize("at", ["<at>", "{AT}", "[ AT ]", "{ at }", "[\u00a0at]", "[  at  ]", "<arroba>"])
@@ -436,6 +437,30 @@ def test_other_numbers_are_left(text):
     assert pii.fixed_forms(text) == []
 
 
+def test_numbers_without_a_form_are_told_by_their_context(spark):
+    texts = [f"Note {k}. Hotline: +1 883 555 {1000 + k} all day. Batch code {7000000 + k} packed." for k in range(40)]
+    texts += ["Note. Hotline: 8835550102 all day.", "Batch code 8835550103 packed."] + ["Hotline: 8835550104 all day."] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = pii.find(docs, spark.createDataFrame([], "token string, role string"))
+    got = {(r["doc_id"], r["surface"]) for r in found.where("pii_type = 'phone'").collect()}
+    assert got == {(k, f"+1 883 555 {1000 + k}") for k in range(40)} | {(40, "8835550102")} | {(k, "8835550104") for k in (42, 43, 44)}
+    assert found.where("pii_type <> 'phone'").count() == 0
+
+
+def test_words_of_both_roles_and_large_lexicons(spark, monkeypatch):
+    lexicon = [("Mirka", "given"), ("Zarnley", "family"), ("Jordan", "given"), ("Jordan", "family"), ("Kaldez", "family"), ("Osine", "given")]
+    lexicon = spark.createDataFrame([*lexicon, *lexicon], "token string, role string")
+    long = "Mirka Osine Jordan Mirka Osine Jordan Mirka Osine Zarnley"
+    texts = ["We saw Mirka Jordan here", "We saw Jordan Kaldez here", f"We saw {long} here", "We saw Mirka Zarnley here", "Vast Plain Empty Words Of Many Capital Letters Here", None]
+    docs = spark.createDataFrame([(2**60 + k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    names = lambda: values(pii.find(docs, lexicon).select("doc_id", "surface"))
+    want = [(2**60, "Mirka Jordan"), (2**60 + 1, "Jordan Kaldez"), (2**60 + 2, long), (2**60 + 3, "Mirka Zarnley")]
+    assert names() == want
+    monkeypatch.setattr(pii, "MAX_LEXICON", 2)
+    monkeypatch.setattr(pii, "MANY_WORDS", 3)
+    assert names() == want
+
+
 def test_names_by_co_occurrence(spark):
     given, family = ["Mirka", "Nevka", "Jorto", "Lidara", "Osine"], ["Zarnley", "Brenquist", "Wolmark", "Stavesh", "Kaldez"]
     lexicon = spark.createDataFrame([(t, "given") for t in given] + [(t, "family") for t in family] + [("Bench", "family"), (None, "given")], "token string, role string")
