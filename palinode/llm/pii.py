@@ -417,7 +417,7 @@ def disclosure(counts: DataFrame, words: DataFrame) -> DataFrame:
     ``share`` is the part of the term's occurrences that stand with a protected entity, shrunk towards none where there are few;
     ``bits`` is its pointwise mutual information with such entities over the whole corpus.
     """
-    sums = counts.groupBy("term", "role").agg(F.sum("near").alias("near"), F.sum("with").alias("with"))
+    sums = written(counts.groupBy("term", "role").agg(F.sum("near").alias("near"), F.sum("with").alias("with")), "terms")  # read several times
     each = sums.join(words, "term", "left").withColumn("all", F.when(F.col("role") == "context", F.col("near") + 1.0).otherwise(F.col("n") + F.col("low") + 0.5))
     base = each.groupBy("role").agg((F.sum("with") / F.sum("all")).alias("base"))  # four rows
     told = each.join(F.broadcast(base), "role").withColumn("share", F.col("with") / F.col("all")).withColumn("bits", F.log2(F.col("share") / F.col("base")))
