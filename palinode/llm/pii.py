@@ -25,6 +25,8 @@ WORD_SHARE, CONTEXT_SHARE, BITS, SURE = 0.25, 0.2, 1.0, 0.5
 ERRORS = 2.0
 #: A lexicon of so many words is sent to every task; a larger one is joined.
 MAX_LEXICON = 500_000
+#: So many telling terms are sent to every task; more are joined with the runs that have them.
+MAX_TERMS = 200_000
 #: Words that a task counts before it passes its counts on.
 MANY_WORDS = 2_000_000
 Roles = dict[str, set[str]]
@@ -477,7 +479,7 @@ def find(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: st
     counted over all documents, and the decision on a run sees only the counts of its own terms, by a join.
     """
     kind = dict(documents.dtypes)[key]
-    facts = written(scan(documents, key, text), "pii")
+    facts = written(scan(documents, key, text), "pii", by="kind")
     fixed = facts.where("kind = 'found'").select("doc", F.col("key").alias("pii_type"), "start", F.col("body").alias("surface"))
     words = written(facts.where("kind = 'word'").groupBy(F.col("key").alias("term")).agg(F.sum("n").alias("n"), F.sum("low").alias("low")), "words")
     # lexicon words that the corpus mostly writes small are ordinary words
@@ -493,30 +495,32 @@ def find(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: st
         every = every.withColumn("known", F.lit(None).cast(found))
     else:  # too many words to send to every task: each run is joined with those it has
         asked = every.select("doc", "start", F.explode(F.array_distinct(F.concat(inner, halves))).alias("term")).where("term <> ''")
-        own = asked.join(lexicon, "term").groupBy("doc", "start").agg(F.collect_list(F.struct("term", "roles")).alias("known"))
-        every = written(every.join(own, ["doc", "start"], "left").withColumn("known", F.coalesce("known", F.array().cast(found))), "runs")
-    told = disclosure(co_occurrence(every.where("n > 0"), roles), words)
+        own = asked.join(lexicon, "term").groupBy(F.col("doc").alias("of"), F.col("start").alias("at")).agg(F.collect_list(F.struct("term", "roles")).alias("known"))
+        both = every.join(own, F.col("doc").eqNullSafe(F.col("of")) & (F.col("start") == F.col("at")), "left").drop("of", "at")
+        every = written(both.withColumn("known", F.coalesce("known", F.array().cast(found))), "runs")
+    told = written(disclosure(co_occurrence(every.where("n > 0"), roles), words).groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("role", "share"))).alias("shares")), "told")
     runs = every.drop("n")
-    evidence = told.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("role", "share"))).alias("shares"))
-    asked = runs.select("doc", "start", F.explode(F.array_distinct(F.concat("terms", inner, halves))).alias("term")).where("term <> ''")
-    met = (
-        asked.join(evidence, "term")
-        .groupBy("doc", "start")
-        .agg(F.collect_list(F.struct("term", "shares")).alias("told"))  # a few terms per run
-    )
+    shares: dict[str, dict[str, float]] = {}
+    if told.count() <= MAX_TERMS:
+        shares = {r["term"]: r["shares"] for r in told.toLocalIterator()}
+        runs = runs.withColumn("told", F.lit(None).cast("array<struct<term:string,shares:map<string,double>>>"))
+    else:  # too many terms to send to every task: each run is joined with those it has
+        asked = runs.select("doc", "start", F.explode(F.array_distinct(F.concat("terms", inner, halves))).alias("term")).where("term <> ''")
+        # a few terms per run; runs of documents with one key share what is told of theirs
+        met = asked.join(told, "term").groupBy(F.col("doc").alias("of"), F.col("start").alias("at")).agg(F.collect_list(F.struct("term", "shares")).alias("told"))
+        runs = runs.join(met, F.col("doc").eqNullSafe(F.col("of")) & (F.col("start") == F.col("at")), "left").drop("of", "at")
+        runs = runs.withColumn("told", F.coalesce("told", F.array().cast(met.schema["told"].dataType)))
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for doc, start, body, terms, known, told_ in zip(*(pdf[c] for c in ("doc", "start", "body", "terms", "known", "told")), strict=True):
-                mine: dict[str, dict[str, float]] = {}
-                for t in told_ if told_ is not None else ():
-                    mine.setdefault(t["term"], {}).update(t["shares"])
+                mine = shares if told_ is None else {t["term"]: dict(t["shares"]) for t in told_}
                 for a, b in names_in(body, list(terms), mine, _known(roles, known)):
                     rows.append((doc, "person_name", start + a, body[a:b]))
             yield pd.DataFrame(rows, columns=["doc", "pii_type", "start", "surface"])
 
-    names = runs.join(met, ["doc", "start"], "left").mapInPandas(decide, "doc string, pii_type string, start int, surface string")
+    names = runs.mapInPandas(decide, "doc string, pii_type string, start int, surface string")
     return fixed.unionByName(numbers_told(facts)).unionByName(names).select(F.col("doc").cast(kind).alias(key), "pii_type", "start", "surface")
 
 
