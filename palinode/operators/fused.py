@@ -286,7 +286,7 @@ def leet(t: str, cfg: Config) -> Done:
     new = " ".join([w.translate(_LEET) if m else w for w, m in zip(words, marked, strict=True)])
     found = [w for w, m in zip(words, marked, strict=True) if m]
     signs, total = sum(map(_signs, found)), sum(map(_alphanumerics, found))
-    return new, [(t, new, f"substitutions: {signs}")], min(1.0, signs / total) if total else 1.0
+    return new, [(t, new, f"substitutions: {signs}, such as {found[0]} for {found[0].translate(_LEET)}")], min(1.0, signs / total) if total else 1.0
 
 
 _CODED = re.compile(r"[$(){}:\\/]")
@@ -299,16 +299,26 @@ def bigrams(t: str, cfg: Config) -> Done:
     if not t.isascii() and len(_CJK.findall(t)) / len(t) > float(np.float32(T.ENTROPY_CJK_GATE)):
         return t, [], 0.0
     least, needed = float(np.float32(cfg.entropy_min_english)), 2.0 ** min(cfg.entropy_high, 30.0)
-    # a word that occurs again is judged once
-    for w in set(_LONG.findall(t)):
+
+    def judged(w: str) -> tuple[float, float] | None:
+        """Bits and share of English pairs of a word that is odd."""
         if _CODED.search(w) or _HEXLIKE.fullmatch(w):
-            continue
-        capitals = w.upper() if w.isascii() else "".join([c.upper()[:1] for c in w])
-        english = sum(capitals[k : k + 2] in _PAIRS for k in range(len(capitals) - 1)) / (len(w) - 1)
-        odd = english < least and (sum(c.isalpha() for c in w) if w.isascii() else len(_ALPHABETIC.findall(w))) >= T.ENTROPY_MIN_ALPHA
-        if odd or (len(w) > needed - 1 or cfg.entropy_high < 0) and _entropy(w) > cfg.entropy_high:
-            return t, [(t, t, "a word of unlikely characters")], 0.0
-    return t, [], 0.0
+            return None
+        english = 1.0
+        if (sum(c.isalpha() for c in w) if w.isascii() else len(_ALPHABETIC.findall(w))) >= T.ENTROPY_MIN_ALPHA:
+            capitals = w.upper() if w.isascii() else "".join([c.upper()[:1] for c in w])
+            english = sum(capitals[k : k + 2] in _PAIRS for k in range(len(capitals) - 1)) / (len(w) - 1)
+        odd = english < least and english < 1.0
+        return (round(_entropy(w), 9), english) if odd or (len(w) > needed - 1 or cfg.entropy_high < 0) and _entropy(w) > cfg.entropy_high else None
+
+    memo: dict[str, tuple[float, float] | None] = {}  # a word that occurs again is judged once
+    worst, bits, english = None, -1.0, 2.0
+    for w in _LONG.findall(t):
+        if w not in memo:
+            memo[w] = judged(w)
+        if (x := memo[w]) and (x[0] > bits or x[1] < english):
+            worst, (bits, english) = w, x
+    return (t, [], 0.0) if worst is None else (t, [(t, t, f"a word of unlikely characters: {worst}")], 0.0)
 
 
 def _entropy(w: str) -> float:

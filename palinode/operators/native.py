@@ -244,7 +244,9 @@ def leetspeak(t: Column, cfg: Config) -> Column:
         new = F.array_join(F.transform(m, lambda x: F.when(x["is"], swapped(x["w"], T.LEET)).otherwise(x["w"])), " ")
         signs = total(lambda w: count(w, leet))
         ratio = F.least(F.lit(1.0).cast("float"), signs.cast("float") / total(alpha).cast("float"))
-        return F.when(F.size(hitwords) > 0, result(new, F.array(hit(t, new, F.concat(F.lit("substitutions: "), signs.cast("string")))), ratio)).otherwise(result(t, no_hits()))
+        first = F.element_at(hitwords, 1)["w"]
+        sample = F.concat(F.lit(", such as "), first, F.lit(" for "), swapped(first, T.LEET))
+        return F.when(F.size(hitwords) > 0, result(new, F.array(hit(t, new, F.concat(F.lit("substitutions: "), signs.cast("string"), sample))), ratio)).otherwise(result(t, no_hits()))
 
     return F.when(t.rlike(leet) if cfg.leet_min_pct > 0 else t.isNotNull(), let(words, decoded)).when(t.isNotNull(), result(t, no_hits()))
 
@@ -254,29 +256,40 @@ def entropy_bigram(t: Column, cfg: Config) -> Column:
     coded = r"[$(){}:\\/]"
     pairs = "(?=" + "|".join(T.BIGRAMS) + ")"
 
-    def unlikely(w: Column) -> Column:
-        n = F.length(w)
+    def english(w: Column) -> Column:
         capitals = F.when(w.rlike(_NON_ASCII), F.array_join(F.transform(characters(w), lambda c: F.substring(F.upper(c), 1, 1)), "")).otherwise(F.upper(w))
-        english = count(capitals, pairs).cast("float") / (n - 1).cast("float")
-        return (count(w, r"\p{IsAlphabetic}") >= T.ENTROPY_MIN_ALPHA) & (english < F.lit(cfg.entropy_min_english).cast("float"))
+        return F.when(count(w, r"\p{IsAlphabetic}") >= T.ENTROPY_MIN_ALPHA, count(capitals, pairs).cast("float") / (F.length(w) - 1).cast("float")).otherwise(F.lit(1.0))
 
-    def entropy(w: Column) -> Column:
+    def unlikely(w: Column) -> Column:
+        return (count(w, r"\p{IsAlphabetic}") >= T.ENTROPY_MIN_ALPHA) & (english(w) < F.lit(cfg.entropy_min_english).cast("float"))
+
+    def bits(w: Column) -> Column:
         def of(chars: Column) -> Column:
             part = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
             return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda h, c: h - part(c) * F.log2(part(c)))
 
+        return let(characters(w), of)
+
+    def entropy(w: Column) -> Column:
         # so many bits need so many different characters
         needed = 2.0 ** min(cfg.entropy_high, 30.0)
-        return F.when(F.length(w) > needed - 1, let(characters(w), of)).otherwise(F.lit(0.0) if cfg.entropy_high >= 0 else let(characters(w), of))
+        return F.when(F.length(w) > needed - 1, bits(w)).otherwise(F.lit(0.0) if cfg.entropy_high >= 0 else bits(w))
 
     def odd(w: Column) -> Column:
         looked_at = (F.length(w) >= T.ENTROPY_TOKEN_LEN) & ~w.rlike(coded) & ~w.rlike(_HEX_IDENTIFIER)
         return F.when(looked_at, unlikely(w) | (entropy(w) > cfg.entropy_high)).otherwise(False)
 
+    def told(words: Column) -> Column:
+        scored = F.transform(words, lambda w: F.struct(w.alias("w"), F.round(bits(w), 9).alias("bits"), english(w).cast("double").alias("english")))
+        first = F.struct(F.lit("").alias("w"), F.lit(-1.0).alias("bits"), F.lit(2.0).alias("english"))
+        worst = F.aggregate(scored, first, lambda a, x: F.when((x["bits"] > a["bits"]) | (x["english"] < a["english"]), x).otherwise(a))
+        found = F.array(hit(t, t, F.concat(F.lit("a word of unlikely characters: "), worst["w"])))
+        return F.when(F.size(words) > 0, result(t, found)).otherwise(result(t, no_hits()))
+
     n = F.length(t)
     prose = count(t, T.CJK).cast("float") / n.cast("float") <= F.lit(T.ENTROPY_CJK_GATE).cast("float")
-    fired = F.when((n >= T.ENTROPY_INPUT_MIN) & prose, F.exists(F.split(t, rf"[{T.SPACE}]+"), odd)).otherwise(False)
-    return F.when(t.isNotNull(), result(t, F.when(fired, F.array(hit(t, t, "a word of unlikely characters"))).otherwise(no_hits())))
+    some = let(F.filter(F.split(t, rf"[{T.SPACE}]+"), odd), told)
+    return F.when((n >= T.ENTROPY_INPUT_MIN) & prose, some).when(t.isNotNull(), result(t, no_hits()))
 
 
 def split_string(t: Column, cfg: Config) -> Column:

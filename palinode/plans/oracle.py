@@ -1,11 +1,12 @@
 """What the queries must give, as SQL for another engine, written from the semantics of each pass.
 
-Passes without an entry (look-alike tables, punycode, Morse) are tested on fixtures, and so are queries of the pipeline that need them.
+Passes without an entry (punycode, Morse, skeletons) are tested on fixtures, and so are queries of the pipeline that need them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 
 # Fixed values, written out here so that a wrong entry of the engine shows
 _KEYWORDS = (
@@ -183,23 +184,40 @@ _BASE64 = rf"""
     select a.sample_id, coalesce(n, 0) as n_hits, coalesce(n, 0) > 0 as fired, case when n > 0 then new else text end as normalized from adversarial a left join f using (sample_id)"""
 
 
+_MIXED = f"""
+    select sample_id, coalesce(cast(len(list_filter(list_zip(zs, list_reverse(zs)), lambda x: x[1] <> x[2])) as double) / nullif(len(zs), 0), 0) as ratio
+    from (select sample_id, list_transform(string_split(text, ''), lambda c: {_SCRIPT}) as zs from adversarial where text <> '')"""
+_LEET_RATIO = rf"""
+    select sample_id, case when len(ws) > 0 then least(1.0, list_sum(list_transform(ws, lambda w: len(regexp_extract_all(w, '[013456789@!$+|]')))) * 1.0
+                               / list_sum(list_transform(ws, lambda w: len(regexp_extract_all(w, '[\p{{L}}\p{{N}}]'))))) else 0 end as ratio
+    from (select sample_id, list_filter(regexp_extract_all(text, '{_WS.replace("[", "[^", 1)}+'), lambda w: {_LEET_WORD}) as ws from adversarial)"""
+
+
 def _chained(steps: list[tuple[str, str]]) -> str:
-    """Passes one after the other, each on what the one before left."""
+    """Passes one after the other, each on what the one before left; a foreign letter counts only where no look-alike was replaced."""
+    at = {kind: k for k, (kind, _) in enumerate(steps)}
     parts = ["s0 as (select sample_id, text from adversarial)"]
-    for k, (_, sql) in enumerate(steps):
-        parts.append(f"p{k} as materialized ({sql.replace('adversarial', f's{k}')})")
-        parts.append(f"s{k + 1} as (select sample_id, normalized as text from p{k})")
+    for k, (kind, sql) in enumerate(steps):
+        made = sql.replace("adversarial", f"s{k}")
+        if kind == "script-intrusion":
+            made = f"select i.sample_id, case when h.fired then 0 else i.n_hits end as n_hits, i.fired and not h.fired as fired, i.normalized from ({made}) i join p{at['homoglyph']} h using (sample_id)"
+        parts += [f"p{k} as materialized ({made})", f"s{k + 1} as (select sample_id, normalized as text from p{k})"]
+    parts += [f"mixed as ({_MIXED.replace('adversarial', f's{at['homoglyph']}')})", f"leet as ({_LEET_RATIO.replace('adversarial', f's{at['leetspeak']}')})"]
     last = len(steps) - 1
-    total = " + ".join(f"{_WEIGHTS[kind]} * p{k}.n_hits" for k, (kind, _) in enumerate(steps))
-    halted = " or ".join(f"p{k}.fired" for k, (kind, _) in enumerate(steps) if kind == "cjk-superposition")
-    kinds = "concat_ws(', ', " + ", ".join(f"case when p{k}.fired then '{kind}' end" for k, (kind, _) in enumerate(steps)) + ")"
-    joins = " ".join(f"join p{k} using (sample_id)" for k in range(len(steps)))
+    # in single precision, in the order of the passes
+    total = "cast(0 as real)"
+    for kind, k in at.items():
+        total = f"({total} + cast({_WEIGHTS[kind]} as real) * cast(p{k}.n_hits as real))"
+    for extra, weight in (("mixed", 0.6), ("leet", 0.4)):
+        total = f"({total} + cast(coalesce({extra}.ratio, 0) as real) * cast({weight} as real))"
+    kinds = "concat_ws(', ', " + ", ".join(f"case when p{k}.fired then '{kind}' end" for kind, k in at.items()) + ")"
+    joins = " ".join(f"join p{k} using (sample_id)" for k in range(len(steps))) + " left join mixed using (sample_id) left join leet using (sample_id)"
     return f"""with {", ".join(parts)},
-        j as (select a.sample_id, a.text, p{last}.normalized as left_over, {halted} as halt, {total} as total, {kinds} as kinds from adversarial a {joins}),
-        r as (select *, case when text is not null then case when halt then 1.0 else least(1.0, round(cast(total as double), 4)) end end as score from j)
+        j as (select a.sample_id, a.text, p{last}.normalized as left_over, p{at['cjk-superposition']}.fired as halt, {total} as total,
+                     {kinds} as kinds from adversarial a {joins}),
+        r as (select *, case when text is not null then case when halt then 1.0 else least(1.0, round(cast(cast(total as real) as double), 4)) end end as score from j)
         select sample_id, left_over as normalized, cast(score as double) as score, score >= 0.25 as should_flag, score >= 0.6 as should_block,
                case when text is not null then halt end as halted, case when score >= 0.6 then 'BLOCK' when score >= 0.25 then 'FLAG' when score is not null then 'pass' end as label,
-               case when text is null then null when kinds = '' then 'clean' else printf('score=%.2f  detections=[%s]', score, kinds) end as summary,
                case when text is not null then kinds end as kinds from r"""
 
 
@@ -252,6 +270,38 @@ _CHAIN = f"""
     select record_id, prev_hmac, signature from c"""
 
 
+#: Look-alikes by script, as they are seen in texts; further ones follow from a rule below.
+_ALIKE = (
+    ("ЅІЈАВЕЗКМНОРСТУХЬабгеорсухшѕіјѡѴѵҮүһҽӀӏӠԁԌԛԜԝ", "SlJABE3KMHOPCTYXba6reopcyxwsijwVvYyhell3dGqWw"),
+    ("\u0374\u037a\u037eͿ΄ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορσυϒϜϨϬϭϱϲϳϸϹϺ", "'i;J'ABEZHlKMNOPTYXayivopouYF26opcjpCM"),
+    ("ՍՏՕ՚՝ագզհոռսցւքօ։", "USO''wqqhnnugifo:"),
+    ("׀׃וטיןס׳", "l:lv'lo'"),
+    ("؍اه٫٭ھہ۔ە", ",lo,*oo-o"),
+    ("´¸×þıſƄƍƒƖƦƧƷƼƽƿǀǃȜȢȣɁɑɡɣɩɪɯʋʏʔʹʻʼʽʾ˂˃˄ˆˈˊˋː˗˛˜˴˸", "',xpifbgflR235spl!388?agyiiwuy?'''''<>^^''':-i~':"),
+    ("‐‑‒–‘’‚‛․′‵‹›⁁⁃⁄⁎⁓⁚−∕∗∣∨∪∶∼℮", "----'','.''<>/-/*~:-/*lvU:~e"),
+)
+
+
+def _alike() -> dict[str, str]:
+    """Characters that look like one of ASCII: the table, mathematical and letter-like forms of what it and ASCII have, digits, enclosed letters."""
+    table = {a: b for foreign, to in _ALIKE for a, b in zip(foreign, to, strict=True)}
+    seen = {"I": "l", "0": "O", "1": "l"}  # a form is taken for the letter that its plain form is taken for
+    for cp in (*range(0x2100, 0x2190), *range(0x1D400, 0x1D800)):
+        plain = unicodedata.normalize("NFKC", chr(cp))
+        to = plain if plain.isascii() else table.get(plain, "")
+        if len(plain) == 1 and to.isalnum() and to != "m" and chr(cp) not in table:
+            table[chr(cp)] = seen.get(to, to)
+    table |= {chr(first + d): str(d) for first in (0x660, 0x6F0) for d in range(10)} | {chr(0x2460 + d): str(d + 1) for d in range(9)}
+    return table | {chr(0x24B6 + n): chr(65 + n) for n in range(26)} | {chr(0x24D0 + n): chr(97 + n) for n in range(26)}
+
+
+_TABLE = _alike()
+_SEEN = f"translate(text, '{''.join(_TABLE)}', '{''.join(_TABLE.values()).replace(chr(39), chr(39) * 2)}')"
+_TOKENS = f"'{_WS}+|{_WS.replace('[', '[^', 1)}+'"
+_PICKED = r"case when x[1] <> x[2] and (regexp_matches(x[1], '[A-Za-z0-9]') or (regexp_full_match(x[2], '[\x00-\x7f]+') and regexp_full_match(x[1], '[^\x00-\x7f]+'))) then x[2] else x[1] end"
+_HOMOGLYPH = _whole(f"array_to_string(list_transform(list_zip(regexp_extract_all(text, {_TOKENS}), regexp_extract_all({_SEEN}, {_TOKENS})), lambda x: {_PICKED}), '')", "new <> text")
+
+
 def _passes() -> dict[str, tuple[str, str]]:
     """Query, pass and SQL of the passes that SQL can state."""
     return {
@@ -266,6 +316,9 @@ def _passes() -> dict[str, tuple[str, str]]:
         "url_decode": ("url-encoding", _URL),
         "html_decode": ("html-entities", _HTML),
         "base64_decode": ("base64", _BASE64),
+        "homoglyph_fold": ("homoglyph", _HOMOGLYPH),
+        "script_intrusion": ("script-intrusion", _stay(_INTRUSION)),
+        "leet_fold": ("leetspeak", _LEET),
         "entropy_bigram": ("entropy-bigram", _ENTROPY),
         "split_keyword": ("split-string", _stay(_SPLIT)),
     }
@@ -276,8 +329,6 @@ def oracle_sql() -> dict[str, str]:
     passes = _passes()
     return {
         **{name: sql for name, (_, sql) in passes.items()},
-        "leet_fold": _LEET,
-        "script_intrusion": _stay(_INTRUSION),
         "script_interference": _INTERFERENCE,
         "plain_decision": _chained(list(passes.values())),
         "detections_scored": _SCORED,

@@ -59,11 +59,13 @@ def forget(spark: SparkSession) -> int:
     return gone
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: the lineage is cut and the rows outlive any executor."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: the lineage is cut and the rows outlive any executor.
+
+    With ``by``, a column of few values, a reader that asks for some of them reads only theirs."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/palinode-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if not _WRITTEN:
         atexit.register(forget, spark)
     _WRITTEN.append(path)
