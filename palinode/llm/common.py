@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The names of the nineteen passes, in the kebab form.
-PASS_NAMES = (
-    "pre-scan-nfc", "invisible-strip", "cjk-superposition", "bidi-control", "fullwidth-chars", "backslash-escape",
-    "unicode-escape", "punycode", "rot13", "url-encoding", "html-entities", "base64", "morse-code", "homoglyph",
-    "script-intrusion", "leetspeak", "entropy-bigram", "split-string", "skeleton-match",
-)
-
+from palinode.functions.tables import PASSES
 
 def digest_of(text: Column) -> Column:
     """The 64 lower-case hexadecimal digits of a SHA-256 however written (case, blanks, colons, dashes, ``0x`` or ``sha256:``), else null."""
@@ -49,7 +43,7 @@ def pass_name(name: Column) -> Column:
     Known names are matched by their letters and digits alone; an unknown one is split before its inner capitals.
     """
     squashed = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
-    known = F.create_map(*[F.lit(x) for p in PASS_NAMES for x in (p.replace("-", ""), p)])
+    known = F.create_map(*[F.lit(x) for p in PASSES for x in (p.replace("-", ""), p)])
     spaced = F.regexp_replace(F.regexp_replace(F.trim(name), "([a-z0-9])([A-Z])", "$1-$2"), r"[\s_\-]+", "-")
     other = F.regexp_replace(F.lower(spaced), "^-|-$", "")
     return F.when(squashed != "", F.coalesce(F.element_at(known, squashed), other))

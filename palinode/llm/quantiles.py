@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palinode.sources.shared import written
@@ -13,24 +13,33 @@ SIX_SIGMA = 6.5 / K
 BROADCAST_ROWS = 200_000
 
 
+def _kind(rows: DataFrame) -> str:
+    """``float`` if single precision holds every value of the column, else ``double``."""
+    return "float" if dict(rows.dtypes)["value"] in ("float", "smallint", "tinyint") else "double"
+
+
+def _kll(what: str, kind: str, *args: object) -> Column:
+    return getattr(F, f"kll_{what}_{kind}")(*args)
+
+
 def sketches(rows: DataFrame, by: list[str], k: int = K) -> DataFrame:
-    """One compactor hierarchy per group of ``by`` over ``value`` (float): ``by``, ``n``, ``sketch``.
+    """One compactor hierarchy per group of ``by`` over ``value``: ``by``, ``n``, ``sketch``, in single precision where that holds every value.
 
     Built with partial aggregation, so a group of any size sends one sketch of bounded size per partition. Null and NaN
     values are left out; groups without a value give no row.
     """
     kept = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_float(F.col("value").cast("float"), F.lit(k)).alias("sketch"))
+    return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _kll("sketch_agg", _kind(rows), F.col("value").cast(_kind(rows)), F.lit(k)).alias("sketch"))
 
 
-def merge(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches of days, partitions or files combined to the coarser groups ``by``, level by level."""
-    return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_float("sketch").alias("sketch"))
+def merge(parts: DataFrame, by: list[str], kind: str = "float") -> DataFrame:
+    """Sketches of days, partitions or files combined to the coarser groups ``by``, level by level; ``kind`` is their precision, float or double."""
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), _kll("merge_agg", kind, "sketch").alias("sketch"))
 
 
-def approximate(parts: DataFrame, percents: list[int]) -> DataFrame:
+def approximate(parts: DataFrame, percents: list[int], kind: str = "float") -> DataFrame:
     """For each sketch and percent: ``pct``, ``value`` and the bracket ``low``, ``high`` around it that holds the true value but for a chance of about 1e-9."""
-    ask = lambda at: F.kll_sketch_get_quantile_float("sketch", F.lit(min(max(at, 0.0), 1.0)))
+    ask = lambda at: _kll("sketch_get_quantile", kind, "sketch", F.lit(min(max(at, 0.0), 1.0)))
     answers = [
         F.struct(F.lit(p).alias("pct"), ask(p / 100).alias("value"), ask(p / 100 - SIX_SIGMA).alias("low"), ask(p / 100 + SIX_SIGMA).alias("high"))
         for p in percents
@@ -63,13 +72,14 @@ def percentiles(rows: DataFrame, by: list[str], percents: list[int], k: int = K)
     within it, a few per cent of each group. Should a bracket miss, that group's is opened fully and looked at again.
     The brackets are broadcast only up to ``BROADCAST_ROWS`` groups. Null and NaN values are left out, groups of nulls are groups.
     """
+    kind = _kind(rows)
     tidy = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(c) for c in by]
-    rows = rows.select(*tidy, F.col("value").cast("float").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    marks = written(approximate(sketches(rows, by, k), percents), "brackets").drop("value")
+    rows = rows.select(*tidy, F.col("value").cast(kind).alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    marks = written(approximate(sketches(rows, by, k), percents, kind), "brackets").drop("value")
     plain = rows.withColumnRenamed("value", "v")
     small = marks.count() <= BROADCAST_ROWS * len(percents)
     first = written(_ranked(plain, F.broadcast(marks) if small else marks, by), "ranked")
-    missed = first.where(~F.col("ok")).select(*by, "pct", "n", F.lit(float("-inf")).cast("float").alias("low"), F.lit(float("inf")).cast("float").alias("high"))
+    missed = first.where(~F.col("ok")).select(*by, "pct", "n", F.lit(float("-inf")).cast(kind).alias("low"), F.lit(float("inf")).cast(kind).alias("high"))
     result = first.where("ok")
     if not missed.isEmpty():
         result = result.unionByName(_ranked(plain, missed, by))

@@ -65,6 +65,11 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.members(_looking(spark, d)).withColumn("look", F.lower(F.hex("look")))
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """The same without the name of the class."""
+    return lookalike.members(_looking(spark, d)).drop("look")
+
+
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every text in its consistent form."""
     texts = _looks(spark, d)
@@ -148,6 +153,16 @@ def p6_sketches(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.approximate(quantiles.merge(days, ["measure", "grp"]), [50, 90, 99])
 
 
+def p6_brackets(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the bounds that the merged sketches of the days give hold the true percentiles over all days."""
+    rows = _measures(spark, d)
+    days = quantiles.sketches(rows, ["measure", "grp", "on_day"])
+    told = quantiles.approximate(quantiles.merge(days, ["measure", "grp"]), [50, 90, 99]).select("measure", "grp", "pct", "low", "high")
+    true = quantiles.percentiles(rows, ["measure", "grp"], [50, 90, 99])
+    held = F.col("value").between(F.col("low"), F.col("high"))
+    return true.join(told, ["measure", "grp", "pct"]).select("measure", "grp", "pct", "n", held.alias("held"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", F.octet_length("text") + 1, CAPACITY)
 

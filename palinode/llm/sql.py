@@ -45,7 +45,7 @@ _TOP = f"""
     select {_DIGEST.format("input_hash")} as digest, count(*) as n from audit_record
     where {_DIGEST.format("input_hash")} <> '' group by 1 order by n desc, digest limit 20"""
 
-_MEASURES = f"""
+_MEASURES_WITH = f"""
     with names as ({_NAME_ROWS}),
     log as (select app_id, obfuscation_score, detections, strftime(make_timestamp({_TIME}), '%Y-%m-%d') as on_day from audit_record),
     hits as (select on_day, unnest(detections) as x from log),
@@ -53,18 +53,57 @@ _MEASURES = f"""
       select 'obfuscation_score' as measure, app_id as grp, on_day, obfuscation_score as v from log
       union all
       select 'confidence', kebab, on_day, x.confidence from hits join names on replace(kebab, '-', '') = {_SQUASH.format("x.pass")}),
-    kept as (select * from vals where v is not null and not isnan(v) and v >= 0 and v <= 1),
+    kept as (select * from vals where v is not null and not isnan(v) and v >= 0 and v <= 1)"""
+_MEASURES_KEPT = f"{_MEASURES_WITH} select * from kept"
+_MEASURES = f"""{_MEASURES_WITH},
     ranked as (select *, row_number() over (partition by measure, grp, on_day order by v) as r, count(*) over (partition by measure, grp, on_day) as n from kept)
     select measure, grp, on_day, cast(pct as integer) as pct, cast(round(cast(min(v) as double) * 10000) as bigint) as value_e4
     from ranked cross join (select unnest([50, 90, 99]) as pct) where r * 100 >= pct * n group by 1, 2, 3, 4"""
 
 
+# Fixed values, as a reader sees them: letters of other scripts and the Latin ones they look like, with accents as far as they are composed
+_FOREIGN = "аАαΑВΒсСϲϹԁеЕΕԌԍһНΗіІιΙӀјЈϳͿКΚМΜΝԚԛоОοΟօՕрРρΡѕЅՏТΤսՍνѵѴԝԜхХΧуҮΥүΖոցհɑɡёЁїЇ"
+_LATIN = "aAaABBcCcCdeEEGGhHHiIiIIjJjJKKMMNQqoOoOoOpPpPsSSTTuUvvVwWxXXyYYyZnghagëËïÏ"
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+_UNSEEN = (
+    r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}"
+    r"\x{2060}-\x{2064}\x{2066}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{fff9}-\x{fffb}\x{e0000}-\x{e0fff}]"
+)
+_BLANKS = r"[\t\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{2800}\x{3000}]"
+_LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ"), ("ǆ", "dž"), ("ǉ", "lj"), ("ǌ", "nj"))
+
+
+def _look(x: str) -> str:
+    """The form in which texts that look the same are equal."""
+    out = f"regexp_replace(replace({x}, E'\\r\\n', E'\\n'), '{_UNSEEN}', '', 'g')"
+    for one, letters in _LIGATURES:
+        out = f"replace({out}, '{one}', '{letters}')"
+    out = f"translate(nfc_normalize(regexp_replace({out}, '{_BLANKS}', ' ', 'g')), '{_WIDE}', '{_NARROW}')"
+    return f"nfc_normalize(translate({out}, '{_FOREIGN}', '{_LATIN}'))"
+
+
+_LOOKS = " union all ".join(
+    f"select '{t}' as tbl, {i} as id, {c} as text, {_look(c)} as look from {t} where {c} is not null"
+    for t, i, c in (("adversarial", "sample_id", "text"), ("detection", "detection_id", "original"), ("normalization_result", "result_id", "normalized"))
+)
+_LOOKS = f"(select * from ({_LOOKS}) where trim(look, ' ') <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query; the queries without one are tested against brute force."""
     return {
         "p1_found": f"select category from ({_MIX}) where exhausted",
         "p1_report": f"select *, round(quota / (select greatest(sum(quota), 1) from ({_MIX})), 6) as share_reached from ({_MIX})",
         "p1_drawn": f"select category, quota as drawn, quota as different from ({_MIX}) where quota > 0",
+        "p2_found": f"""
+            with looks as materialized {_LOOKS}
+            select a.tbl, a.id as id_a, b.id as id_b from looks a join looks b on a.tbl = b.tbl and a.look = b.look and a.id < b.id and a.text <> b.text""",
+        "p2_links": f"""
+            with looks as materialized {_LOOKS},
+            of as (select tbl, look, count(*) as n, count(distinct text) as variants from looks group by 1, 2 having count(distinct text) > 1),
+            same as (select tbl, look, text, count(*) as copies from looks group by 1, 2, 3)
+            select l.tbl, l.id, variants, n - copies as links from looks l join of using (tbl, look) join same using (tbl, look, text)""",
         "p3_found": f"""
             with log as (select record_id, {_DIGEST.format("input_hash")} as digest, {_TIME} as us from audit_record where input_hash is not null),
             old as (select distinct {_DIGEST.format("digest")} as digest from seen_digest)
@@ -83,8 +122,11 @@ def oracle_sql() -> dict[str, str]:
         "p5_bounds": f"select *, true as sure from ({_TOP})",
         "p5_found": f"select digest from ({_TOP})",
         "p6_found": _MEASURES,
+        "p6_brackets": f"""
+            select measure, grp, cast(pct as integer) as pct, n, true as held from (
+              select measure, grp, count(*) as n from ({_MEASURES_KEPT}) group by 1, 2) cross join (select unnest([50, 90, 99]) as pct)""",
         "p7_coverage": """
-            select count(*) as documents, cast(sum((n + 4095) // 4096) as bigint) as parts, cast(sum(n) as bigint) as tokens, 0 as broken, 0 as too_full, true as tight
+            select count(*) as documents, cast(sum((n + 4095) // 4096) as bigint) as parts, cast(sum(n) as bigint) as tokens, cast(0 as bigint) as broken, cast(0 as bigint) as too_full, true as tight
             from (select octet_length(encode(text)) + 1 as n from documents where text is not null)""",
         "p7_found": "select doc_id from documents where octet_length(encode(text)) + 1 > 4096",
     }

@@ -280,6 +280,15 @@ def test_missed_brackets_are_opened(spark, monkeypatch):
     assert got == {p: _exact(want, p) for p in (1, 50, 99)}
 
 
+def test_percentiles_of_wide_numbers(spark):
+    # single precision would make many of these one number
+    wide = [2**40 + 3 * k for k in range(9000)]
+    df = spark.createDataFrame([("a", float(v), v) for v in wide], "grp string, value double, whole bigint").repartition(3)
+    for rows in (df.select("grp", "value"), df.select("grp", F.col("whole").alias("value"))):
+        got = {r["pct"]: r["value"] for r in quantiles.percentiles(rows, ["grp"], [50, 99], k=32).collect()}
+        assert got == {p: _exact(wide, p) for p in (50, 99)}
+
+
 def test_sketches_of_days_merge(spark):
     df = spark.range(50_000).select((F.col("id") % 5).cast("string").alias("day"), F.lit("a").alias("grp"), (F.col("id") / 50_000).cast("float").alias("value"))
     merged = quantiles.merge(quantiles.sketches(df, ["grp", "day"]), ["grp"])
@@ -459,6 +468,8 @@ def test_words_of_both_roles_and_large_lexicons(spark, monkeypatch):
     monkeypatch.setattr(pii, "MAX_LEXICON", 2)
     monkeypatch.setattr(pii, "MANY_WORDS", 3)
     assert names() == want
+    monkeypatch.setattr(pii, "MAX_TERMS", 0)
+    assert names() == want
 
 
 def test_names_by_co_occurrence(spark):
@@ -490,7 +501,7 @@ def test_names_by_co_occurrence(spark):
     assert pii.find(docs.limit(0), lexicon).count() == 0 and pii.find(docs, lexicon.limit(0)).count() == 0
 
 
-def test_names_do_not_depend_on_the_number_of_mentions(spark):
+def test_names_do_not_depend_on_the_number_of_mentions(spark, monkeypatch):
     given, family = ["Mirka", "Nevka", "Jorto"], ["Zarnley", "Brenquist", "Wolmark"]
     lexicon = spark.createDataFrame([(t, "given") for t in given] + [(t, "family") for t in family], "token string, role string")
     texts = [f"Day {k}. Please ask for {given[k % 3]} {family[k // 3 % 3]} at the desk." for k in range(60)]
@@ -499,7 +510,10 @@ def test_names_do_not_depend_on_the_number_of_mentions(spark):
     copied = ["Please ask for Vantor Ellmark at the desk."] * 12
     last = "Please ask for Mirka Zarnley Tax"
     rows = list(enumerate([*texts, *spread, *copied, last, None]))
-    found = pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"), lexicon).where("pii_type = 'person_name'")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = pii.find(docs, lexicon).where("pii_type = 'person_name'")
+    monkeypatch.setattr(pii, "MAX_TERMS", 0)
+    assert values(pii.find(docs, lexicon).where("pii_type = 'person_name'")) == values(found)
     by = Counter(r["surface"] for r in found.collect())
     assert by["Ulroto Hespersen"] == 30 and by["Vantor Ellmark"] == 12
     assert not any("Tax" in surface for surface in by)
