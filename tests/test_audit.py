@@ -3,7 +3,9 @@
 import hashlib
 import hmac
 import json
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from palinode.functions.config import Config
@@ -50,6 +52,17 @@ def test_times_and_cuts(spark):
     assert got[0] == texts[0] and all(len(g.encode()) <= 203 and g.endswith("...") for g in got[1:]) and got[3] == "x" + "語" * 66 + "..."
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    def session(master):
+        context = SimpleNamespace(getConf=lambda: {}, master=master, applicationId=master)
+        return SimpleNamespace(conf={}, sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]", "k8s://host"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
+    assert shared_folder(session("local[8]")) and shared_folder(session("local"))
+
+
 def test_signatures(spark):
     signed = audit.sign(made(spark, ["a‮b", "c"]), KEY)
     row = signed.select("signature", audit._message().alias("m")).first()
