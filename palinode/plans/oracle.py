@@ -338,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "results_rates": f"""select category, n, flagged, blocked, round(flagged / n, 6) as flag_rate, round(blocked / n, 6) as block_rate
             from (select category, count(*) as n, count(*) filter (f) as flagged, count(*) filter (b) as blocked from {_RESULTS} group by 1)""",
         "results_missed": f"select result_id, category, round(cast(score as double), 4) as score, normalized from {_RESULTS} where not b",
-        "log_times": "select record_id, strftime(make_timestamp((record_id * 86413 - 100000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as at from audit_record",
+        "log_times": "select record_id, strftime(make_timestamp((record_id * 86413 - 100000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as written_at from audit_record",
         "log_signed": _SIGNED,
         "log_verified": "select record_id, record_id % 3 <> 0 and record_id % 5 <> 0 as verified from audit_record",
         "log_chain": _CHAIN,
