@@ -1,6 +1,7 @@
 """What the queries must give, as SQL for another engine, written from the semantics of each pass.
 
-Passes without an entry (punycode, Morse, skeletons) are tested on fixtures, and so are queries of the pipeline that need them.
+The nineteen passes are stated one by one and chained for the queries of the pipeline. Constants are written out here, and look-alikes
+and skeletons cover the letters of texts in use, not the whole table.
 """
 
 from __future__ import annotations
@@ -193,10 +194,10 @@ _LEET_RATIO = rf"""
     from (select sample_id, list_filter(regexp_extract_all(text, '{_WS.replace("[", "[^", 1)}+'), lambda w: {_LEET_WORD}) as ws from adversarial)"""
 
 
-def _chained(steps: list[tuple[str, str]]) -> str:
+def _chained(steps: list[tuple[str, str]], table: str, key: str) -> str:
     """Passes one after the other, each on what the one before left; a foreign letter counts only where no look-alike was replaced."""
     at = {kind: k for k, (kind, _) in enumerate(steps)}
-    parts = ["s0 as (select sample_id, text from adversarial)"]
+    parts = [f"s0 as (select {key} as sample_id, text from {table})"]
     for k, (kind, sql) in enumerate(steps):
         made = sql.replace("adversarial", f"s{k}")
         if kind == "script-intrusion":
@@ -212,13 +213,13 @@ def _chained(steps: list[tuple[str, str]]) -> str:
         total = f"({total} + cast(coalesce({extra}.ratio, 0) as real) * cast({weight} as real))"
     kinds = "concat_ws(', ', " + ", ".join(f"case when p{k}.fired then '{kind}' end" for kind, k in at.items()) + ")"
     joins = " ".join(f"join p{k} using (sample_id)" for k in range(len(steps))) + " left join mixed using (sample_id) left join leet using (sample_id)"
+    halted = f"p{at['cjk-superposition']}.fired"
     return f"""with {", ".join(parts)},
-        j as (select a.sample_id, a.text, p{last}.normalized as left_over, p{at['cjk-superposition']}.fired as halt, {total} as total,
-                     {kinds} as kinds from adversarial a {joins}),
-        r as (select *, case when text is not null then case when halt then 1.0 else least(1.0, round(cast(cast(total as real) as double), 4)) end end as score from j)
-        select sample_id, left_over as normalized, cast(score as double) as score, score >= 0.25 as should_flag, score >= 0.6 as should_block,
-               case when text is not null then halt end as halted, case when score >= 0.6 then 'BLOCK' when score >= 0.25 then 'FLAG' when score is not null then 'pass' end as label,
-               case when text is not null then kinds end as kinds from r"""
+        j as (select a.sample_id, a.text, p{last}.normalized as normalized, {halted} as halt, least(1.0, cast(case when {halted} then 1 else {total} end as double)) as raw, {kinds} as kinds from s0 a {joins})
+        select sample_id, text, normalized, kinds, case when text is not null then round(raw, 4) end as score, case when text is not null then raw >= 0.25 end as should_flag,
+               case when text is not null then raw >= cast(cast(0.6 as real) as double) end as should_block, case when text is not null then halt end as halted,
+               case when text is null then null when raw >= cast(cast(0.6 as real) as double) then 'BLOCK' when raw >= 0.25 then 'FLAG' else 'pass' end as label,
+               case when text is null then null when kinds = '' then 'clean' else printf('score=%.2f  detections=[%s]', floor(raw * 100 + 0.5) / 100, kinds) end as summary from j"""
 
 
 _CASES = "case kind " + " ".join(f"when '{k}' then {w}" for k, w in _WEIGHTS.items()) + " else 0 end"
@@ -302,6 +303,84 @@ _PICKED = r"case when x[1] <> x[2] and (regexp_matches(x[1], '[A-Za-z0-9]') or (
 _HOMOGLYPH = _whole(f"array_to_string(list_transform(list_zip(regexp_extract_all(text, {_TOKENS}), regexp_extract_all({_SEEN}, {_TOKENS})), lambda x: {_PICKED}), '')", "new <> text")
 
 
+#: What signs of ASCII look like, in lower case, and what further letters of texts do; full-width letters that look like their plain ones.
+_SKELETON = {
+    '"': "''", "%": "º/₀", "0": "O", "1": "l", "`": "'", "m": "rn", "|": "l", "¢": "c\u0338", "€": "Ꞓ", "…": "...", "æ": "ae", "œ": "oe", "ø": "o\u0338", "ð": "\u2202\u0335",
+    "\u0327": "\u0326", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "β": "ß", "δ": "ẟ", "ε": "ꞓ", "η": "n\u0329", "κ": "ĸ", "τ": "ᴛ", "в": "ʙ", "з": "ɜ", "и": "ᴎ", "к": "ĸ", "м": "ʍ",
+    "н": "ʜ", "п": "π", "т": "ᴛ", "ф": "ɸ", "ъ": "ˉb", "ы": "ƅi", "ь": "ƅ", "я": "ᴙ", "є": "ꞓ", "ґ": "r'", "＂": "''", "－": "ー", "＼": "\\",
+}
+_WIDE_SAME = "ａｃｅｇｈｉｊｌｏｐｓｖｘｙ"
+_BLANK = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f"
+_NOTHING = "\u00ad\u200b\u200c\u200d\u202e\u2060\ufe0f\ufeff\U000e006b\U000e006f"
+
+
+def _map(table: dict[str, str]) -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    return "map([" + ", ".join(map(text, table)) + "], [" + ", ".join(map(text, table.values())) + "])"
+
+
+def _bare(x: str) -> str:
+    """A text in lower case as what it looks like, decomposed."""
+    apart = {chr(c): d for c in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)) if (d := unicodedata.normalize("NFD", chr(c))) != chr(c)}
+    looks = {a: b for a, b in _TABLE.items() if a not in "шӏӀ" and not unicodedata.category(a).startswith("N")} | {c: unicodedata.normalize("NFKC", c) for c in _WIDE_SAME}
+    looks |= {c: "rn" for c in map(chr, range(0x1D400, 0x1D800)) if unicodedata.normalize("NFKC", c) == "m"} | dict.fromkeys(_NOTHING, "") | dict.fromkeys(_BLANK, " ") | _SKELETON
+    one = lambda y, table: f"array_to_string(list_transform(string_split({y}, ''), lambda c: coalesce({_map(table)}[c], c)), '')"
+    return one(one(f"lower({x})", apart), looks)
+
+
+_SKELETONS = f"""
+    with b as (select sample_id, text, case when regexp_matches(text, '[^\\x00-\\x7f]') then {_bare("text")} end as bare from adversarial),
+    f as (select *, coalesce(len(list_filter({_K}, lambda k: contains(bare, k) and not contains(lower(text), k))) > 0, false) as fired from b)
+    select sample_id, cast(case when fired then 1 else 0 end as bigint) as n_hits, fired, case when fired then bare else text end as normalized from f"""
+
+_MORSE = {
+    ".-": "A", "-...": "B", "-.-.": "C", "-..": "D", ".": "E", "..-.": "F", "--.": "G", "....": "H", "..": "I", ".---": "J", "-.-": "K", ".-..": "L", "--": "M", "-.": "N",
+    "---": "O", ".--.": "P", "--.-": "Q", ".-.": "R", "...": "S", "-": "T", "..-": "U", "...-": "V", ".--": "W", "-..-": "X", "-.--": "Y", "--..": "Z", "-----": "0", ".----": "1",
+    "..---": "2", "...--": "3", "....-": "4", ".....": "5", "-....": "6", "--...": "7", "---..": "8", "----.": "9", "-..-.": "/", ".-.-.-": ".", "..--..": "?", "--..--": ",",
+    ".-..-": "/",
+}
+_SIGNS = "list_filter(string_split(replace(y, ' / ', ' | '), ' '), lambda z: z <> '' and z <> '|')"
+_SPELT = f"array_to_string(list_transform(list_filter(string_split(replace(y, ' / ', ' | '), ' '), lambda z: z <> ''), lambda z: case when z = '|' then ' ' else coalesce({_map(_MORSE)}[z], '?') end), '')"
+# a run of signs, or what follows in it, is replaced from the first place on that can be read
+_READ = f"""case when length(p) >= 10 and regexp_matches(p, '^[./ -]') and length(y) * 100 // length(p) >= 60 and len({_SIGNS}) > 0
+    and len(list_filter({_SIGNS}, lambda z: {_map(_MORSE)}[z] is not null)) * 100 // len({_SIGNS}) >= 40 and length(trim(trim({_SPELT}, '?'), ' ')) >= 2 then {_SPELT} end"""
+_MORSES = rf"""
+    with b as (select sample_id, text, regexp_extract_all(text, '[./ -][./ ,;:!-]*|[^./ -]+') as xs from adversarial where text is not null),
+    t as (select sample_id, unnest(xs) as x, generate_subscripts(xs, 1) as i from b),
+    k as (select sample_id, i, x, unnest(case when regexp_matches(x, '^[./ -]') and length(x) >= 10 then range(1, length(x) - 8) else [0] end) as a from t),
+    p as (select *, substr(x, a) as p, regexp_replace(substr(x, a), '[,;:!]+', '', 'g') as y from k), r as (select *, case when a > 0 then {_READ} end as shown from p),
+    w as (select sample_id, i, any_value(x) as x, min(a) filter (shown is not null) as a, arg_min(shown, a) filter (shown is not null) as shown from r group by 1, 2),
+    f as (select sample_id, count(shown) as n, string_agg(case when shown is null then x else left(x, a - 1) || shown end, '' order by i) as new from w group by 1)
+    select s.sample_id, coalesce(n, 0) as n_hits, coalesce(n, 0) > 0 as fired, case when n > 0 then new else text end as normalized from adversarial s left join f using (sample_id)"""
+
+# one digit of a label after the other: the state is the text so far, the number and place of the next letter, and the weights of the digits
+_DIGIT = "case when c between 'a' and 'z' then unicode(c) - 97 when c between '0' and '9' then unicode(c) - 22 else 99 end"
+_EDGE = "least(26, greatest(1, s.k - s.bias))"
+_SIZE = "(length(s.out) + 1)"
+_DELTA = f"((s.i + d * s.w - s.old) // (case when s.old = 0 and s.n = 128 and s.first then 700 else 2 end))"
+_GROWN = f"({_DELTA} + {_DELTA} // {_SIZE})"
+_LESS = f"(case when {_GROWN} > 455 * 35 * 35 then 3 when {_GROWN} > 455 * 35 then 2 when {_GROWN} > 455 then 1 else 0 end)"
+_REST = f"({_GROWN} // (case {_LESS} when 3 then 42875 when 2 then 1225 when 1 then 35 else 1 end))"
+_STEP = f"""case when s.bad or d > 35 then {{'out': s.out, 'n': s.n, 'i': s.i, 'bias': s.bias, 'old': s.old, 'w': s.w, 'k': s.k, 'first': s.first, 'open': s.open, 'bad': true}}
+    when d < {_EDGE} then {{'out': left(s.out, (s.i + d * s.w) % {_SIZE}) || chr(cast(s.n + (s.i + d * s.w) // {_SIZE} as integer)) || substr(s.out, (s.i + d * s.w) % {_SIZE} + 1),
+        'n': s.n + (s.i + d * s.w) // {_SIZE}, 'i': (s.i + d * s.w) % {_SIZE} + 1, 'bias': 36 * {_LESS} + 36 * {_REST} // ({_REST} + 38), 'old': (s.i + d * s.w) % {_SIZE} + 1,
+        'w': cast(1 as bigint), 'k': cast(36 as bigint), 'first': false, 'open': false, 'bad': false}}
+    else {{'out': s.out, 'n': s.n, 'i': s.i + d * s.w, 'bias': s.bias, 'old': s.old, 'w': s.w * (36 - {_EDGE}), 'k': s.k + 36, 'first': s.first, 'open': true, 'bad': false}} end"""
+_PUNYCODE = rf"""
+    with recursive t as (select sample_id, unnest(regexp_extract_all(text, '[ \t\n\f\r]+|[^ \t\n\f\r]+')) as x, generate_subscripts(regexp_extract_all(text, '[ \t\n\f\r]+|[^ \t\n\f\r]+'), 1) as nr
+                         from adversarial where regexp_matches(text, '(?i)xn--')),
+    l as (select *, lower(substr(x, 5)) as label from t where regexp_full_match(x, '(?i)xn--[a-z0-9-]*')),
+    z as (select sample_id, nr, case when contains(label, '-') then regexp_extract(label, '-([^-]*)$', 1) else label end as tail, 1 as pos,
+                 {{'out': case when contains(label, '-') then regexp_extract(label, '^(.*)-[^-]*$', 1) else '' end, 'n': cast(128 as bigint), 'i': cast(0 as bigint), 'bias': cast(72 as bigint),
+                   'old': cast(0 as bigint), 'w': cast(1 as bigint), 'k': cast(36 as bigint), 'first': true, 'open': false, 'bad': false}} as s from l
+          union all
+          select sample_id, nr, tail, pos + 1, {_STEP} from (select *, substr(tail, pos, 1) as c, {_DIGIT.replace("c ", "substr(tail, pos, 1) ").replace("(c)", "(substr(tail, pos, 1))")} as d from z where pos <= length(tail))),
+    r as (select sample_id, nr, translate(s.out, '{"".join(_TABLE)}', '{"".join(_TABLE.values()).replace(chr(39), chr(39) * 2)}') as shown from z where pos = length(tail) + 1 and not s.bad and not s.open),
+    f as (select t.sample_id, count(*) filter ({_ANY.format("lower(shown)")}) as n, string_agg(case when {_ANY.format("lower(shown)")} then shown else x end, '' order by nr) as new
+          from t left join r using (sample_id, nr) group by 1)
+    select a.sample_id, cast(case when n > 0 then 1 else 0 end as bigint) as n_hits, coalesce(n, 0) > 0 as fired, case when n > 0 then new else text end as normalized from adversarial a left join f using (sample_id)"""
+
+
 def _passes() -> dict[str, tuple[str, str]]:
     """Query, pass and SQL of the passes that SQL can state."""
     return {
@@ -312,25 +391,40 @@ def _passes() -> dict[str, tuple[str, str]]:
         "fullwidth_fold": ("fullwidth-chars", _whole(f"translate(text, '{_FULL}', '{_PLAIN}')", "new <> text")),
         "backslash_unescape": ("backslash-escape", _BACKSLASH),
         "unicode_unescape": ("unicode-escape", _UNICODE),
+        "punycode_decode": ("punycode", _PUNYCODE),
         "rot13_decode": ("rot13", _whole(_ROT, f"len(list_filter({_K}, lambda k: contains(lower(new), k) and not contains(lower(text), k))) > 0")),
         "url_decode": ("url-encoding", _URL),
         "html_decode": ("html-entities", _HTML),
         "base64_decode": ("base64", _BASE64),
+        "morse_decode": ("morse-code", _MORSES),
         "homoglyph_fold": ("homoglyph", _HOMOGLYPH),
         "script_intrusion": ("script-intrusion", _stay(_INTRUSION)),
         "leet_fold": ("leetspeak", _LEET),
         "entropy_bigram": ("entropy-bigram", _ENTROPY),
         "split_keyword": ("split-string", _stay(_SPLIT)),
+        "skeleton_match": ("skeleton-match", _SKELETONS),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query."""
     passes = _passes()
+    attacks, harmless = (_chained(list(passes.values()), t, "sample_id") for t in ("adversarial", "benign"))
     return {
         **{name: sql for name, (_, sql) in passes.items()},
         "script_interference": _INTERFERENCE,
-        "plain_decision": _chained(list(passes.values())),
+        "score_decision": f"select sample_id, score, should_flag, should_block, halted, label, summary from ({attacks})",
+        "left_texts": f"select sample_id, normalized, case when text is not null then kinds end as kinds from ({attacks})",
+        "benign_decision": f"select sample_id, score, should_flag, should_block, label from ({harmless})",
+        "documents_scan": f"select sample_id as doc_id, score, should_flag, should_block, halted from ({_chained(list(passes.values()), 'documents', 'doc_id')})",
+        "corpus_eval": f"""select lower(trim(category, ' ')) as category, count(*) as n, count(*) filter (should_flag) as flagged, count(*) filter (should_block) as blocked
+            from adversarial join ({attacks}) using (sample_id) group by 1""",
+        "corpus_rates": f"""select corpus, n, flagged, blocked, round(flagged / n, 6) as flag_rate, round(blocked / n, 6) as block_rate from (
+            select corpus, count(*) as n, count(*) filter (should_flag) as flagged, count(*) filter (should_block) as blocked
+            from (select 'adversarial' as corpus, * from ({attacks}) union all select 'benign', * from ({harmless})) group by 1)""",
+        "corpus_missed": f"""
+            select 'adversarial' as corpus, sample_id, category, score, a.text from adversarial a join ({attacks}) r using (sample_id) where not should_flag
+            union all select 'benign', sample_id, category, score, b.text from benign b join ({harmless}) r using (sample_id) where should_flag""",
         "detections_scored": _SCORED,
         "detection_confidence": _CONFIDENCE,
         "detail_truncated": """select detection_id, case when octet_length(encode(original)) <= 200 then original
@@ -342,6 +436,9 @@ def oracle_sql() -> dict[str, str]:
         "log_signed": _SIGNED,
         "log_verified": "select record_id, record_id % 3 <> 0 and record_id % 5 <> 0 as verified from audit_record",
         "log_chain": _CHAIN,
+        # a record without text has nothing that could be changed
+        "audit_sign_verify": "select sample_id, 64 as digits, true as right, false as wrong_key, text is null as changed from adversarial",
+        "audit_chain": "select coalesce(lower(trim(category, ' ')), '') as chain, count(*) as n, count(*) as verified, count(*) as linked from adversarial group by 1",
         "log_links": """select record_id, prev_hmac is not distinct from lag(signature) over (partition by app_id order by record_id) as linked from audit_record""",
         "audit_hash": "select doc_id, sha256(text) as input_hash, length(text) as input_len from documents",
     }

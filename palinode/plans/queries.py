@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palinode.functions.config import BASE_CONFIDENCE, Config
 from palinode.operators import audit, native
 from palinode.operators.pipeline import (
-    Normalizer, compute_score, decision_at, detection_kinds, evaluate_corpus, explode_detections, label, missed, rates, run_pass, summary,
+    Normalizer, compute_score, decision_at, evaluate_corpus, explode_detections, label, missed, rates, run_pass, summary,
 )
 from palinode.operators.pipeline import confidence as confidence_of
 from palinode.plans.api import analyze_text
@@ -90,19 +90,9 @@ def corpus_missed(spark: SparkSession, d: str) -> DataFrame:
     return each[0].unionByName(each[1], allowMissingColumns=True).select("corpus", "sample_id", "category", _rounded(F.col("score")).alias("score"), "text")
 
 
-#: The passes of ``plain_decision``: all but punycode, Morse and skeletons, which SQL can't state.
-PLAIN = (
-    "pre-scan-nfc", "invisible-strip", "cjk-superposition", "bidi-control", "fullwidth-chars", "backslash-escape", "unicode-escape", "rot13",
-    "url-encoding", "html-entities", "base64", "homoglyph", "script-intrusion", "leetspeak", "entropy-bigram", "split-string",
-)
-
-
-def plain_decision(spark: SparkSession, d: str) -> DataFrame:
-    """What sixteen passes one after the other leave of every sample, and their decision."""
-    out = Normalizer(PLAIN).analyze(spread(table(spark, d, "adversarial")))
-    kinds = F.array_join(detection_kinds(F.col("detections")), ", ")
-    return out.select("sample_id", "normalized", _rounded(F.col("score")).alias("score"), "should_flag", "should_block", "halted", label(F.col("score"), Config()).alias("label"),
-                      kinds.alias("kinds"))
+def left_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What the passes leave of every sample, and their kinds."""
+    return _analyzed(spark, d).select("sample_id", "normalized", F.array_join("detection_kinds", ", ").alias("kinds"))
 
 
 def detections_scored(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
     own = (
         script_interference, score_decision, benign_decision, detection_explode, confidence, corpus_eval, corpus_rates, corpus_missed, audit_hash, audit_record,
-        audit_sign_verify, audit_chain, documents_scan, plain_decision, detections_scored, detection_confidence, detail_truncated, results_rates, results_missed,
+        audit_sign_verify, audit_chain, documents_scan, left_texts, detections_scored, detection_confidence, detail_truncated, results_rates, results_missed,
         log_times, log_signed, log_verified, log_chain, log_links,
     )
     return {n: partial(_pass_query, kind) for n, kind in PASS_QUERIES.items()} | {f.__name__: f for f in own}
