@@ -74,6 +74,7 @@ _URL = rf"""
                  array_to_string(list_transform(xs, lambda x: case when {_URL_OK} then try(url_decode(x)) else x end), '') as new from b)
     select sample_id, cast(coalesce(h, 0) as bigint) as n_hits, coalesce(h, 0) > 0 as fired, case when h > 0 then new else text end as normalized from f"""
 
+_URL_HITS = f"list_filter(regexp_extract_all(text, '(?:%[0-9A-Fa-f]{{2}})+'), lambda x: {_URL_OK})"
 _REFERENCE = r"""case when x in ('&amp', '&amp;') then '&' when x in ('&lt', '&lt;') then '<' when x in ('&gt', '&gt;') then '>'
     when x in ('&quot', '&quot;') then '"' when x in ('&apos', '&apos;') then ''''
     when regexp_matches(x, '^&#[xX]') then chr(cast('0x' || regexp_extract(x, '[0-9A-Fa-f]+', 0) as integer))
@@ -174,13 +175,17 @@ def _strict(p: str) -> str:
 
 
 _QUOTED = f"regexp_extract(x, '^{_CALL}\"([^\"]*)\"', 1)"
-_BASE64 = rf"""
-    with c as (select sample_id, text, list_transform(regexp_extract_all(text, '{_CALL}"[^"]*"|[^ab]+|.'), lambda x: {{'x': x, 'raw': case when regexp_matches(x, '^{_CALL}"') then {_strict(_QUOTED)} end}}) as xs
-               from adversarial where text is not null),
+_BASE64_CALLS = rf"""
+    select sample_id, text, list_transform(regexp_extract_all(text, '{_CALL}"[^"]*"|[^ab]+|.'), lambda x: {{'x': x, 'raw': case when regexp_matches(x, '^{_CALL}"') then {_strict(_QUOTED)} end}}) as xs
+    from adversarial where text is not null"""
+_BASE64_WORDS = rf"""
+    with c as ({_BASE64_CALLS}),
     d as (select sample_id, array_to_string(list_transform(xs, lambda y: coalesce(y.raw, y.x)), '') as text, len(list_filter(xs, lambda y: y.raw is not null)) as calls from c),
     b as (select sample_id, calls, unnest(regexp_extract_all(text, '{_WS}+|{_WS.replace("[", "[^", 1)}+')) as w, generate_subscripts(regexp_extract_all(text, '{_WS}+|{_WS.replace("[", "[^", 1)}+'), 1) as i from d),
-    p as (select *, {_TRIMMED} as p from b), s as (select *, case when octet_length(encode(p)) >= 12 then {_strict("p")} end as raw from p),
-    k as (select *, case when length(raw) >= 8 and {_ANY.format("lower(raw)")} then raw end as shown from s),
+    p as (select *, {_TRIMMED} as p from b), s as (select *, case when octet_length(encode(p)) >= 12 then {_strict("p")} end as raw from p)
+    select *, case when length(raw) >= 8 and {_ANY.format("lower(raw)")} then raw end as shown from s"""
+_BASE64 = f"""
+    with k as ({_BASE64_WORDS}),
     f as (select sample_id, any_value(calls) + count(shown) as n, string_agg(case when shown is null then w else replace(w, p, shown) end, '' order by i) as new from k group by 1)
     select a.sample_id, coalesce(n, 0) as n_hits, coalesce(n, 0) > 0 as fired, case when n > 0 then new else text end as normalized from adversarial a left join f using (sample_id)"""
 
@@ -194,7 +199,7 @@ _LEET_RATIO = rf"""
     from (select sample_id, list_filter(regexp_extract_all(text, '{_WS.replace("[", "[^", 1)}+'), lambda w: {_LEET_WORD}) as ws from adversarial)"""
 
 
-def _chained(steps: list[tuple[str, str]], table: str, key: str) -> str:
+def _steps(steps: list[tuple[str, str]], table: str, key: str) -> tuple[list[str], dict[str, int]]:
     """Passes one after the other, each on what the one before left; a foreign letter counts only where no look-alike was replaced."""
     at = {kind: k for k, (kind, _) in enumerate(steps)}
     parts = [f"s0 as (select {key} as sample_id, text from {table})"]
@@ -203,6 +208,31 @@ def _chained(steps: list[tuple[str, str]], table: str, key: str) -> str:
         if kind == "script-intrusion":
             made = f"select i.sample_id, case when h.fired then 0 else i.n_hits end as n_hits, i.fired and not h.fired as fired, i.normalized from ({made}) i join p{at['homoglyph']} h using (sample_id)"
         parts += [f"p{k} as materialized ({made})", f"s{k + 1} as (select sample_id, normalized as text from p{k})"]
+    return parts, at
+
+
+def _each_hit(steps: list[tuple[str, str]], table: str, key: str) -> str:
+    """Every detection of the passes with its number within the text."""
+    parts, at = _steps(steps, table, key)
+    found = []
+    for kind, k in at.items():
+        start = f"select sample_id, {k} as step, '{kind}' as kind, "
+        if kind == "url-encoding":
+            found.append(f"{start} j, x as original, url_decode(x) as normalized from (select sample_id, unnest(xs) as x, generate_subscripts(xs, 1) as j from (select sample_id, {_URL_HITS} as xs from s{k}))")
+        elif kind == "base64":
+            found.append(f"{start} j, y.x as original, y.raw as normalized from (select sample_id, unnest(xs) as y, generate_subscripts(xs, 1) as j from ({_BASE64_CALLS.replace('adversarial', f's{k}')})) where y.raw is not null")
+            found.append(f"{start} 1000000 + i as j, p as original, shown as normalized from ({_BASE64_WORDS.replace('adversarial', f's{k}')}) where shown is not null")
+        elif kind == "morse-code":
+            found.append(f"{start} i as j, substr(x, a) as original, shown as normalized from ({_MORSE_RUNS.replace('adversarial', f's{k}')}) where shown is not null")
+        else:
+            found.append(f"{start} unnest(range(p.n_hits)) as j, s.text as original, p.normalized from s{k} s join p{k} p using (sample_id) where p.fired")
+    return f"""with {", ".join(parts)} select sample_id, cast(row_number() over (partition by sample_id order by step, j) - 1 as integer) as ord, kind, original, normalized
+        from ({" union all ".join(found)})"""
+
+
+def _chained(steps: list[tuple[str, str]], table: str, key: str) -> str:
+    """What the passes leave of each text, and the decision."""
+    parts, at = _steps(steps, table, key)
     parts += [f"mixed as ({_MIXED.replace('adversarial', f's{at['homoglyph']}')})", f"leet as ({_LEET_RATIO.replace('adversarial', f's{at['leetspeak']}')})"]
     last = len(steps) - 1
     # in single precision, in the order of the passes
@@ -228,9 +258,10 @@ _SCORED = f"""
     g as (select sample_id, least(1.0, round(cast(sum(w) as double), 4)) as score, string_agg(kind, ', ' order by place) as kinds from f group by 1)
     select sample_id, cast(score as double) as score, score >= 0.25 as should_flag, score >= 0.6 as should_block,
            case when score >= 0.6 then 'BLOCK' when score >= 0.25 then 'FLAG' else 'pass' end as label, printf('score=%.2f  detections=[%s]', score, kinds) as summary from g"""
+_CONFIDENT = f"""least(1.0, cast(case kind {" ".join(f"when '{k}' then {w}" for k, w in _BASES.items())} end as double)
+        + case when length(original) > 0 then 0.2 * least(1.0, abs(length(original) - length(normalized)) * 1.0 / length(original)) else 0 end)"""
 _CONFIDENCE = f"""
-    select detection_id, round(least(1.0, cast(case kind {" ".join(f"when '{k}' then {w}" for k, w in _BASES.items())} end as double)
-        + case when length(original) > 0 then 0.2 * least(1.0, abs(length(original) - length(normalized)) * 1.0 / length(original)) else 0 end), 4) as confidence
+    select detection_id, round({_CONFIDENT}, 4) as confidence
     from detection where kind in ({", ".join(f"'{k}'" for k in _BASES)})"""
 _RESULTS = """(select r.*, lower(trim(category, ' ')) as category, score >= flag_threshold as f, score >= block_threshold as b
     from normalization_result r left join adversarial using (sample_id))"""
@@ -344,13 +375,14 @@ _SPELT = f"array_to_string(list_transform(list_filter(string_split(replace(y, '
 # a run of signs, or what follows in it, is replaced from the first place on that can be read
 _READ = f"""case when length(p) >= 10 and regexp_matches(p, '^[./ -]') and length(y) * 100 // length(p) >= 60 and len({_SIGNS}) > 0
     and len(list_filter({_SIGNS}, lambda z: {_map(_MORSE)}[z] is not null)) * 100 // len({_SIGNS}) >= 40 and length(trim(trim({_SPELT}, '?'), ' ')) >= 2 then {_SPELT} end"""
-_MORSES = rf"""
+_MORSE_RUNS = rf"""
     with b as (select sample_id, text, regexp_extract_all(text, '[./ -][./ ,;:!-]*|[^./ -]+') as xs from adversarial where text is not null),
     t as (select sample_id, unnest(xs) as x, generate_subscripts(xs, 1) as i from b),
     k as (select sample_id, i, x, unnest(case when regexp_matches(x, '^[./ -]') and length(x) >= 10 then range(1, length(x) - 8) else [0] end) as a from t),
-    p as (select *, substr(x, a) as p, regexp_replace(substr(x, a), '[,;:!]+', '', 'g') as y from k), r as (select *, case when a > 0 then {_READ} end as shown from p),
-    w as (select sample_id, i, any_value(x) as x, min(a) filter (shown is not null) as a, arg_min(shown, a) filter (shown is not null) as shown from r group by 1, 2),
-    f as (select sample_id, count(shown) as n, string_agg(case when shown is null then x else left(x, a - 1) || shown end, '' order by i) as new from w group by 1)
+    p as (select *, substr(x, a) as p, regexp_replace(substr(x, a), '[,;:!]+', '', 'g') as y from k), r as (select *, case when a > 0 then {_READ} end as shown from p)
+    select sample_id, i, any_value(x) as x, min(a) filter (shown is not null) as a, arg_min(shown, a) filter (shown is not null) as shown from r group by 1, 2"""
+_MORSES = f"""
+    with f as (select sample_id, count(shown) as n, string_agg(case when shown is null then x else left(x, a - 1) || shown end, '' order by i) as new from ({_MORSE_RUNS}) group by 1)
     select s.sample_id, coalesce(n, 0) as n_hits, coalesce(n, 0) > 0 as fired, case when n > 0 then new else text end as normalized from adversarial s left join f using (sample_id)"""
 
 # one digit of a label after the other: the state is the text so far, the number and place of the next letter, and the weights of the digits
@@ -409,11 +441,15 @@ def _passes() -> dict[str, tuple[str, str]]:
 def oracle_sql() -> dict[str, str]:
     """SQL by query."""
     passes = _passes()
+    detections = _each_hit(list(passes.values()), "adversarial", "sample_id")
     attacks, harmless = (_chained(list(passes.values()), t, "sample_id") for t in ("adversarial", "benign"))
     return {
         **{name: sql for name, (_, sql) in passes.items()},
         "script_interference": _INTERFERENCE,
         "score_decision": f"select sample_id, score, should_flag, should_block, halted, label, summary from ({attacks})",
+        "detection_explode": detections,
+        "confidence": f"""select kind, count(*) as n, round(min(c), 4) as least, round(max(c), 4) as most from (
+            select kind, {_CONFIDENT} as c from ({detections})) group by 1""",
         "left_texts": f"select sample_id, normalized, case when text is not null then kinds end as kinds from ({attacks})",
         "benign_decision": f"select sample_id, score, should_flag, should_block, label from ({harmless})",
         "documents_scan": f"select sample_id as doc_id, score, should_flag, should_block, halted from ({_chained(list(passes.values()), 'documents', 'doc_id')})",
