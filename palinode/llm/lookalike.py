@@ -24,7 +24,7 @@ from palinode.sources.shared import written
 
 #: Letters of other scripts (left) that look like the Latin letter (right), case by case.
 SAME_LETTER = (
-    ("аАαΑ", "aAaA"), ("ВΒ", "BB"), ("сСϲϹ", "cCcC"), ("ԁ", "d"), ("еЕΕ", "eEE"), ("ԌGԍ", "GGG"), ("һНΗ", "hHH"), ("іІιΙӀ", "iIiII"),
+    ("аАαΑ", "aAaA"), ("ВΒ", "BB"), ("сСϲϹ", "cCcC"), ("ԁ", "d"), ("еЕΕ", "eEE"), ("Ԍ", "G"), ("һНΗ", "hHH"), ("іІιΙӀ", "iIiII"),
     ("јЈϳͿ", "jJjJ"), ("КΚ", "KK"), ("МΜ", "MM"), ("ΝԚԛ", "NQq"), ("оОοΟօՕ", "oOoOoO"), ("рРρΡ", "pPpP"), ("ѕЅՏ", "sSS"), ("ТΤ", "TT"),
     ("սՍ", "uU"), ("νѵѴ", "vvV"), ("ԝԜ", "wW"), ("хХΧ", "xXX"), ("уҮΥү", "yYYy"), ("Ζ", "Z"), ("ո", "n"), ("ց", "g"), ("հ", "h"),
 )

@@ -62,8 +62,8 @@ _MEASURES = f"""{_MEASURES_WITH},
 
 
 # Fixed values, as a reader sees them: letters of other scripts and the Latin ones they look like, with accents as far as they are composed
-_FOREIGN = "аАαΑВΒсСϲϹԁеЕΕԌԍһНΗіІιΙӀјЈϳͿКΚМΜΝԚԛоОοΟօՕрРρΡѕЅՏТΤսՍνѵѴԝԜхХΧуҮΥүΖոցհɑɡёЁїЇ"
-_LATIN = "aAaABBcCcCdeEEGGhHHiIiIIjJjJKKMMNQqoOoOoOpPpPsSSTTuUvvVwWxXXyYYyZnghagëËïÏ"
+_FOREIGN = "аАαΑВΒсСϲϹԁеЕΕԌһНΗіІιΙӀјЈϳͿКΚМΜΝԚԛоОοΟօՕрРρΡѕЅՏТΤսՍνѵѴԝԜхХΧуҮΥүΖոցհɑɡёЁїЇ"
+_LATIN = "aAaABBcCcCdeEEGhHHiIiIIjJjJKKMMNQqoOoOoOpPpPsSSTTuUvvVwWxXXyYYyZnghagëËïÏ"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
 _UNSEEN = (
