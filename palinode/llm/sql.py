@@ -84,9 +84,10 @@ def _look(x: str) -> str:
 
 
 _LOOKS = " union all ".join(
-    f"select '{t}' as tbl, {i} as id, {c} as text, {_look(c)} as look from {t} where {c} is not null"
+    f"select '{t}' as tbl, {i} as id, {c} as text, {_look(c)} as look from {t}"
     for t, i, c in (("adversarial", "sample_id", "text"), ("detection", "detection_id", "original"), ("normalization_result", "result_id", "normalized"))
 )
+_EVERY = f"select tbl, id, look as canonical from ({_LOOKS})"
 _LOOKS = f"(select * from ({_LOOKS}) where trim(look, ' ') <> '')"
 
 
@@ -99,6 +100,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"""
             with looks as materialized {_LOOKS}
             select a.tbl, a.id as id_a, b.id as id_b from looks a join looks b on a.tbl = b.tbl and a.look = b.look and a.id < b.id and a.text <> b.text""",
+        # Latin letters, blanks and ASCII signs are the most frequent of their classes in these tables
+        "p2_canonical": _EVERY,
         "p2_links": f"""
             with looks as materialized {_LOOKS},
             of as (select tbl, look, count(*) as n, count(distinct text) as variants from looks group by 1, 2 having count(distinct text) > 1),
