@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palinode.llm import heavy, leakage, lookalike, mix, packing, pairs, pii, quantiles
 from palinode.llm.common import day_of, digest_of, instant_us, pass_name
 from palinode.llm.seen import SeenBefore
-from palinode.sources.shared import table
+from palinode.sources.shared import spread, table
 
 #: Capacity of a container in tokens; the public byte-level tokenizer has a token per UTF-8 byte and one for the end.
 CAPACITY = 4096
@@ -197,19 +197,23 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), CAPACITY)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the evaluation items they leak."""
-    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leakage.leaked(_texts(spark, d), table(spark, d, "eval_item"))
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     """Every passage of an item in a document, those included in whose place another item stands."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leakage.leaks(_texts(spark, d), table(spark, d, "eval_item"))
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation items by the number of documents that leak them."""
-    found = leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    found = leakage.leaked(_texts(spark, d), table(spark, d, "eval_item"))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
