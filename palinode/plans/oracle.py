@@ -473,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
         "log_verified": "select record_id, record_id % 3 <> 0 and record_id % 5 <> 0 as verified from audit_record",
         "log_chain": _CHAIN,
         # a record without text has nothing that could be changed
-        "audit_sign_verify": "select sample_id, 64 as digits, true as right, false as wrong_key, text is null as changed from adversarial",
+        "audit_sign_verify": "select sample_id, 64 as digits, true as as_signed, false as wrong_key, text is null as changed from adversarial",
         "audit_chain": "select coalesce(lower(trim(category, ' ')), '') as chain, count(*) as n, count(*) as verified, count(*) as linked from adversarial group by 1",
         "log_links": """select record_id, prev_hmac is not distinct from lag(signature) over (partition by app_id order by record_id) as linked from audit_record""",
         "audit_hash": "select doc_id, sha256(text) as input_hash, length(text) as input_len from documents",

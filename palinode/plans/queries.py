@@ -186,10 +186,10 @@ def audit_record(spark: SparkSession, d: str) -> DataFrame:
 def audit_sign_verify(spark: SparkSession, d: str) -> DataFrame:
     """Signed records, checked as they are, with another key and after a change."""
     signed = audit.sign(_records(spark, d), KEY)
-    right = audit.verify(signed, KEY, "right")
+    right = audit.verify(signed, KEY, "as_signed")
     wrong = audit.verify(right, b"another key", "wrong_key")
     changed = audit.verify(wrong.withColumn("blocked", ~F.col("blocked")), KEY, "changed")
-    return changed.select("sample_id", F.length("signature").alias("digits"), "right", "wrong_key", "changed")
+    return changed.select("sample_id", F.length("signature").alias("digits"), "as_signed", "wrong_key", "changed")
 
 
 def audit_chain(spark: SparkSession, d: str) -> DataFrame:
