@@ -18,6 +18,8 @@ FIELDS = (
     "input_hash", "input_len", "timestamp", "obfuscation_score", "halted", "blocked", "passes_fired", "detections", "prev_hmac", "signature",
 )
 _BLOCK = 64
+#: Seconds of 400 years, after which the calendar repeats.
+_CYCLE = 146_097 * 86_400
 
 
 def truncated(detail: Column) -> Column:
@@ -27,11 +29,20 @@ def truncated(detail: Column) -> Column:
 
 
 def iso_utc(seconds: Column) -> Column:
-    """``YYYY-MM-DDTHH:MM:SSZ`` of seconds since 1970, whatever the zone of the session."""
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
-    part = lambda unit, size: F.lpad(F.pmod(F.floor(seconds / unit), F.lit(size)).cast("string"), 2, "0")
+    """``YYYY-MM-DDTHH:MM:SSZ`` of seconds since 1970, whatever the zone of the session; any bigint or decimal.
+
+    Years past 9999 have more digits, those before 0 a sign and no padding, as ``strftime`` has them.
+    """
+    seconds = F.floor(seconds)
+    whole = lambda a, size: F.call_function("div", a, F.lit(size))
+    within = F.pmod(seconds, F.lit(_CYCLE)).cast("bigint")
+    cycles = whole(seconds, _CYCLE) - (seconds % _CYCLE < 0).cast("int")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), whole(within, 86400).cast("int"))
+    year = cycles * 400 + F.year(day)
+    digits = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    part = lambda unit, size: F.lpad((whole(within, unit) % size).cast("string"), 2, "0")
     clock = F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60))
-    return F.concat(day.cast("string"), F.lit("T"), clock, F.lit("Z"))
+    return F.concat(digits, F.substring(day.cast("string"), 5, 6), F.lit("T"), clock, F.lit("Z"))
 
 
 def records(analyzed: DataFrame, text: str = "text", at: Column | None = None) -> DataFrame:

@@ -139,7 +139,9 @@ def results_missed(spark: SparkSession, d: str) -> DataFrame:
 
 def log_times(spark: SparkSession, d: str) -> DataFrame:
     """Instants as the log writes them."""
-    return table(spark, d, "audit_record").select("record_id", audit.iso_utc(F.col("record_id") * 86_413 - 100_000_000).alias("written_at"))
+    # the product with a large number is wider than a bigint
+    seconds = F.col("record_id").cast("decimal(19,0)") * 86_413 - 100_000_000
+    return table(spark, d, "audit_record").select("record_id", audit.iso_utc(seconds).alias("written_at"))
 
 
 def log_signed(spark: SparkSession, d: str) -> DataFrame:

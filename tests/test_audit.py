@@ -3,14 +3,18 @@
 import hashlib
 import hmac
 import json
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from palinode.functions.config import Config
 from palinode.operators import audit
 from palinode.operators.pipeline import Normalizer
+from palinode.plans.oracle import oracle_sql
+from palinode.plans.queries import queries
 from palinode.sources.corpus import append_lines, read_corpus, read_lines
 from palinode.sources.shared import shared_folder, table, written
 from palinode.streaming.scan import audit_stream, chain_stream
@@ -52,6 +56,35 @@ def test_times_and_cuts(spark):
     assert got[0] == texts[0] and all(len(g.encode()) <= 203 and g.endswith("...") for g in got[1:]) and got[3] == "x" + "語" * 66 + "..."
 
 
+def in_words(seconds):
+    """The time from the same day of a year that datetime knows, 400 years being a cycle."""
+    cycles, within = divmod(seconds, 146_097 * 86_400)
+    at = datetime(1970, 1, 1) + timedelta(seconds=within)
+    year = at.year + 400 * cycles
+    return (f"{year:04}" if year >= 0 else str(year)) + at.strftime("-%m-%dT%H:%M:%SZ")
+
+
+def test_times_of_far_years(spark):
+    known = [253_402_300_799, 253_402_300_800, -62_135_596_801, -62_167_219_200, -62_167_219_201]
+    assert [*map(in_words, known)] == ["9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "0000-12-31T23:59:59Z", "0000-01-01T00:00:00Z", "-1-12-31T23:59:59Z"]
+    seconds = [*known, *(s * 86_400 + e for s in (2**31, -(2**31) - 1, 10**13, -(10**13)) for e in (-1, 0, 1)), 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(s,) for s in [*seconds, None]], "s bigint")
+    for kind in ("bigint", "decimal(26,0)"):
+        got = {r["s"]: r["t"] for r in df.select("s", audit.iso_utc(F.col("s").cast(kind)).alias("t")).collect()}
+        assert got == {s: in_words(s) for s in seconds} | {None: None}
+
+
+def test_log_times_of_large_numbers(spark, tmp_path):
+    sql = [k + e for k in (2_932_898, 10**7, 10**8, -719_163, -(10**6)) for e in range(-400, 400)]
+    beyond = [*(s * 2**e for s in (1, -1) for e in (27, 31, 32, 47, 62)), 2**63 - 1, -(2**63)]  # here the SQL gives up
+    spark.createDataFrame([(k,) for k in [*sql, *beyond]], "record_id bigint").write.parquet(str(tmp_path / "audit_record.parquet"))
+    got = {r["record_id"]: r["written_at"] for r in queries()["log_times"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"create view audit_record as select * from '{tmp_path}/audit_record.parquet/*.parquet' where abs(record_id::hugeint) < 106000000")
+    want = dict(db.execute(oracle_sql()["log_times"]).fetchall())
+    assert len(want) == len(sql) and got == want | {k: in_words(k * 86_413 - 100_000_000) for k in beyond}
+
+
 def test_a_cluster_must_name_its_shared_folder():
     def session(master):
         context = SimpleNamespace(getConf=lambda: {}, master=master, applicationId=master)
